@@ -1,9 +1,19 @@
 """Queries of this package and their DuckDB SQL where SQL can express them."""
 
+from tallyloom.llm.exactdedup import OP9_SQL, op9_exact_dedup
+from tallyloom.llm.linededup import OP5_SQL, op5_line_dedup
 from tallyloom.llm.secrets import op2_secret_scan
+from tallyloom.llm.warc import OP3_SQL, op3_warc_revisits
 
 QUERIES = {
     "op2_secret_scan": op2_secret_scan,
+    "op3_warc_revisits": op3_warc_revisits,
+    "op5_line_dedup": op5_line_dedup,
+    "op9_exact_dedup": op9_exact_dedup,
 }
 
-ORACLE_SQL: dict = {}
+ORACLE_SQL = {
+    "op3_warc_revisits": OP3_SQL,
+    "op5_line_dedup": OP5_SQL,
+    "op9_exact_dedup": OP9_SQL,
+}
