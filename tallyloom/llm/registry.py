@@ -1,19 +1,26 @@
 """Queries of this package and their DuckDB SQL where SQL can express them."""
 
+from tallyloom.llm.decontaminate import OP8_SQL, op8_decontamination
 from tallyloom.llm.exactdedup import OP9_SQL, op9_exact_dedup
 from tallyloom.llm.linededup import OP5_SQL, op5_line_dedup
+from tallyloom.llm.quality import op4_quality
 from tallyloom.llm.secrets import op2_secret_scan
+from tallyloom.llm.toxicity import op7_toxicity
 from tallyloom.llm.warc import OP3_SQL, op3_warc_revisits
 
 QUERIES = {
     "op2_secret_scan": op2_secret_scan,
     "op3_warc_revisits": op3_warc_revisits,
+    "op4_quality": op4_quality,
     "op5_line_dedup": op5_line_dedup,
+    "op7_toxicity": op7_toxicity,
+    "op8_decontamination": op8_decontamination,
     "op9_exact_dedup": op9_exact_dedup,
 }
 
 ORACLE_SQL = {
     "op3_warc_revisits": OP3_SQL,
     "op5_line_dedup": OP5_SQL,
+    "op8_decontamination": OP8_SQL,
     "op9_exact_dedup": OP9_SQL,
 }
