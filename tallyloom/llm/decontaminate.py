@@ -9,7 +9,6 @@ Defined results: null and empty texts have no words; items without words match n
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np

@@ -3,12 +3,14 @@
 from tallyloom.llm.decontaminate import OP8_SQL, op8_decontamination
 from tallyloom.llm.exactdedup import OP9_SQL, op9_exact_dedup
 from tallyloom.llm.linededup import OP5_SQL, op5_line_dedup
+from tallyloom.llm.piececode import op1_sentencepiece
 from tallyloom.llm.quality import op4_quality
 from tallyloom.llm.secrets import op2_secret_scan
 from tallyloom.llm.toxicity import op7_toxicity
 from tallyloom.llm.warc import OP3_SQL, op3_warc_revisits
 
 QUERIES = {
+    "op1_sentencepiece": op1_sentencepiece,
     "op2_secret_scan": op2_secret_scan,
     "op3_warc_revisits": op3_warc_revisits,
     "op4_quality": op4_quality,
