@@ -2,6 +2,7 @@
 
 from tallyloom.llm.decontaminate import OP8_SQL, op8_decontamination
 from tallyloom.llm.exactdedup import OP9_SQL, op9_exact_dedup
+from tallyloom.llm.jaccard import OP6_SQL, op6_ngram_jaccard
 from tallyloom.llm.linededup import OP5_SQL, op5_line_dedup
 from tallyloom.llm.piececode import op1_sentencepiece
 from tallyloom.llm.quality import op4_quality
@@ -15,6 +16,7 @@ QUERIES = {
     "op3_warc_revisits": op3_warc_revisits,
     "op4_quality": op4_quality,
     "op5_line_dedup": op5_line_dedup,
+    "op6_ngram_jaccard": op6_ngram_jaccard,
     "op7_toxicity": op7_toxicity,
     "op8_decontamination": op8_decontamination,
     "op9_exact_dedup": op9_exact_dedup,
@@ -23,6 +25,7 @@ QUERIES = {
 ORACLE_SQL = {
     "op3_warc_revisits": OP3_SQL,
     "op5_line_dedup": OP5_SQL,
+    "op6_ngram_jaccard": OP6_SQL,
     "op8_decontamination": OP8_SQL,
     "op9_exact_dedup": OP9_SQL,
 }
