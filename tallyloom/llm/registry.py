@@ -7,6 +7,7 @@ from tallyloom.llm.linededup import OP5_SQL, op5_line_dedup
 from tallyloom.llm.piececode import op1_sentencepiece
 from tallyloom.llm.quality import op4_quality
 from tallyloom.llm.secrets import op2_secret_scan
+from tallyloom.llm.suffixdedup import op10_suffix_dedup
 from tallyloom.llm.toxicity import op7_toxicity
 from tallyloom.llm.warc import OP3_SQL, op3_warc_revisits
 
@@ -20,6 +21,7 @@ QUERIES = {
     "op7_toxicity": op7_toxicity,
     "op8_decontamination": op8_decontamination,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 
 ORACLE_SQL = {
