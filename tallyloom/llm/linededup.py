@@ -2,7 +2,7 @@
 
 The corpus goes through in batches, split by document. A batch is reduced to one entry a line digest (documents that hold it, largest document) and flushed as a sorted run; runs are compacted level by level. With all runs in place, the lines are merge-joined with the digests that reached the limit and every line but the keeper's is taken out. Only 16-byte digests and positions are shuffled by line; texts move once, by document.
 
-Defined results: null and empty texts are one empty line, which is never dropped; a null id is one document that ranks below all others; rows that repeat an id count as one document, and each row loses its own lines; ties cannot arise, as the largest id keeps the line; an empty table gives no rows. Other columns of the input are kept, whatever their names, except that n_lines and n_dropped are replaced.
+Defined results: null and empty texts are one empty line, which is never dropped; a null id is one document that ranks below all others; rows that repeat an id count as one document, and each row loses its own lines; ties cannot arise, as the largest id keeps the line; an empty table gives no rows. Other columns of the input are kept, whatever their names; only n_lines and n_dropped are replaced, if these counts are wanted.
 """
 
 from __future__ import annotations
@@ -25,8 +25,8 @@ def long_lines(row: DataFrame, min_chars: int) -> DataFrame:
     return lines.where(F.length(strip_blanks(F.col("line"))) >= min_chars).select("id", "row_key", "pos", line_digest(F.col("line")).alias("digest"))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20, min_docs: int = 3, batches: int = 4, fanout: int = 2) -> DataFrame:
-    """docs with repeated lines taken out of the text, and n_lines (before) and n_dropped."""
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20, min_docs: int = 3, batches: int = 4, fanout: int = 2, counts: bool = True) -> DataFrame:
+    """docs with repeated lines taken out of the text and, if counts are wanted, n_lines (before) and n_dropped."""
     spark = docs.sparkSession
     root = workspace(spark, "line-runs")
     rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("rest")
@@ -59,7 +59,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
     kept = F.when(F.col("lost").isNull(), F.col("text")).otherwise(kept_lines[0])
     n_lines = (F.length("text") - F.length(F.replace("text", F.lit("\n"))) + 1).cast("bigint")
-    out = [kept.alias(c) if c == text_col else F.col(f"rest.`{c}`").alias(c) for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    out = [kept.alias(c) if c == text_col else F.col(f"rest.`{c}`").alias(c) for c in docs.columns if not (counts and c in ("n_lines", "n_dropped"))]
+    if not counts:
+        return joined.select(*out)
     return joined.select(*out, n_lines.alias("n_lines"), F.coalesce(F.size("lost"), F.lit(0)).cast("bigint").alias("n_dropped"))
 
 
