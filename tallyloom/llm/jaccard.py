@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.llm.common import save, table, text_or_empty, workspace
-from tallyloom.llm.components import components
+from tallyloom.llm.components import components, one_round
 
 #: Width of a size band, in steps of 1 / similarity.
 BAND_STEPS = 3
@@ -43,10 +43,12 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
+    """Eight bytes a word; joined, they are an array without a detour over numbers."""
+
+    def __missing__(self, word: bytes) -> bytes:
         if len(self) >= REMEMBERED:
             self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
+        value = self[word] = xxhash.xxh3_64_digest(word)
         return value
 
 
@@ -58,7 +60,7 @@ def shingles(text: bytes, size: int) -> np.ndarray:
     words = text.lower().split()  # bytes: A-Z and ASCII white space only
     if not words:
         return np.zeros(0, np.uint64)
-    hashes = np.array([_words[w] for w in words], np.uint64)
+    hashes = np.frombuffer(b"".join([_words[w] for w in words]), np.uint64)
     size = min(size, len(words))
     total = np.full(len(words) - size + 1, size, np.uint64)
     for k in range(size):
@@ -226,6 +228,14 @@ def _repeated_ids(members: DataFrame, classes: DataFrame, path: str) -> DataFram
     return None if links.isEmpty() else links
 
 
+def _labels(classes: DataFrame, edges: DataFrame | None) -> DataFrame:
+    """The smallest id that each key's class is tied to directly."""
+    if edges is None:
+        return classes.groupBy("key").agg(F.min("id").alias("component"))
+    least = edges.groupBy("u").agg(F.min("v").alias("v"))
+    return classes.join(least, classes.id == least.u, "left").groupBy("key").agg(F.min(F.coalesce("v", "id")).alias("component"))
+
+
 def similar_groups(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: id, n_shingles, component_id (smallest id reachable by links)."""
     spark = docs.sparkSession
@@ -242,39 +252,37 @@ def similar_groups(docs: DataFrame, size: int = 5, percent: int = 80, id_col: st
     shared = _signature_rows(known, size, percent, bitmap).distinct().join(multiple, "sig", "left_semi")
     shared = save(shared, f"{root}/rows")
 
-    node = F.col("key")
-    labels = classes.groupBy("key").agg(F.min("id").alias("component"))
+    # edges are compressed to shallow trees after each step; labels read from them join what is known to be connected
+    edges = _repeated_ids(members, classes, f"{root}/repeated")
+    labels = _labels(classes, edges)
     done: DataFrame | None = None
-    links = _repeated_ids(members, classes, f"{root}/repeated")
-    parts: DataFrame | None = None
     fits = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
     for step in ("first", "second", "rest"):
         marked = shared.join(labels, "key")
         mixed = marked.groupBy("sig").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), (F.min if step == "first" else F.max)(F.struct("key", "n", "component")).alias("head")).where("c0 <> c1")
         if step == "rest":
             open_rows = marked.join(mixed.select("sig"), "sig", "left_semi")
-            left = open_rows.select("sig", node.alias("a"), F.col("n").alias("n_a"), F.col("component").alias("c_a"))
-            right = open_rows.select("sig", node.alias("b"), F.col("n").alias("n_b"), F.col("component").alias("c_b"))
+            left = open_rows.select("sig", F.col("key").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("c_a"))
+            right = open_rows.select("sig", F.col("key").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("c_b"))
             found = left.join(right, "sig").where(F.col("c_a") < F.col("c_b")).where(fits)
         else:
-            found = marked.join(mixed.select("sig", "head"), "sig").select(F.col("head.key").alias("a"), F.col("head.n").alias("n_a"), F.col("head.component").alias("c_a"), node.alias("b"), F.col("n").alias("n_b"), F.col("component").alias("c_b"))
+            found = marked.join(mixed.select("sig", "head"), "sig").select(F.col("head.key").alias("a"), F.col("head.n").alias("n_a"), F.col("head.component").alias("c_a"), F.col("key").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("c_b"))
             found = found.where(F.col("c_a") != F.col("c_b")).where(fits)
         pairs = found.select("a", "b").distinct()
         if done is not None:
-            pairs = pairs.join(done, (pairs.a == done.a) & (pairs.b == done.b), "left_anti").join(done.select(F.col("a").alias("d"), F.col("b").alias("c")), (F.col("a") == F.col("c")) & (F.col("b") == F.col("d")), "left_anti")
+            both = done.select("a", "b").unionByName(done.select(F.col("b").alias("a"), F.col("a").alias("b")))
+            pairs = pairs.join(both, ["a", "b"], "left_anti")
         pairs = save(pairs, f"{root}/pairs-{step}")
         if pairs.isEmpty():
             continue
-        wanted = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct().join(classes.select("key", "id"), "key")
-        texts = _texts(known, save(wanted, f"{root}/wanted-{step}"), root, f"texts-{step}")
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+        texts = _texts(known, save(ends.join(classes.select("key", "id"), "key"), f"{root}/wanted-{step}"), root, f"texts-{step}")
         new = save(_verified(pairs, texts, size, percent), f"{root}/links-{step}")
-        links = new if links is None else links.unionByName(new)
+        edges = save(one_round(new if edges is None else edges.unionByName(new)), f"{root}/edges-{step}")
+        labels = _labels(classes, edges)
         done = pairs if done is None else done.unionByName(pairs)
-        parts = components(links, f"{root}/parts-{step}")
-        labels = classes.join(parts, classes.id == parts.node, "left").groupBy("key").agg(F.min(F.coalesce("component", "id")).alias("component"))
 
-    if parts is None and links is not None:
-        parts = components(links, f"{root}/parts")
+    parts = None if edges is None else components(edges, f"{root}/parts")
     if parts is None:
         grouped = classes.where("rows > 1").select("digest", F.col("id").alias("component"))
     else:
