@@ -4,7 +4,7 @@ Only the order of suffixes up to `window` bytes matters. Suffixes are dealt into
 
 Buckets are sorted one at a time. Within one, a difference cover modulo COVER_PERIOD gives sample positions; these are sorted once by their next `window` bytes, which gives their ranks at every shorter length too. Suffixes are then sorted by their first COVER_PERIOD bytes alone; suffixes that tie go by the ranks of the samples that stand at the same small distance behind both, which the cover grants for any two suffixes. What a bucket needs in memory is a fixed multiple of its segments, however long the repeats.
 
-Identical segments of one Arrow batch are sent once, with two of their places at most, so copies add up to one row a batch.
+Segments that stand at two places are repeats as they are. Of each distinct segment only the copy at its first place is sent to be sorted, so hot passages cost one row each.
 
 Defined results: null counts as empty; texts shorter than the window stay whole; identical rows are copies of each other and lose everything (if long enough); a null id is kept as it is; an empty table gives no rows; other columns are ignored.
 """
@@ -13,9 +13,11 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,8 +28,8 @@ WINDOW = 200
 CONTEXT = 50
 #: A perfect difference set; any two residues modulo 31 have one distance behind them at which both are in the set.
 COVER_PERIOD, COVER = 31, (0, 1, 3, 8, 12, 18)
-#: Bytes of text that are hashed in one go, and of text a bucket.
-STRETCH = 8 << 20
+#: Bytes of text that are hashed in one go (what then fits a processor's cache), and of text a bucket.
+STRETCH = 1 << 20
 BUCKET_BYTES = 2 << 20
 SALTS = 8
 _rng = np.random.default_rng(20240101)
@@ -36,12 +38,16 @@ BASE = 0x9E3779B97F4A7C15
 UNBASE = pow(BASE, -1, 1 << 64)
 
 
+@lru_cache(maxsize=4)
+def _powers(base: int, n: int) -> np.ndarray:
+    return np.concatenate([[np.uint64(1)], np.multiply.accumulate(np.full(n, base, np.uint64))])
+
+
 def stretch_hashes(data: np.ndarray, size: int) -> np.ndarray:
     """A 64-bit hash of the `size` bytes from each position on."""
     out = np.empty(max(0, len(data) - size + 1), np.uint64)
-    step = 1 << 20
-    up = np.concatenate([[np.uint64(1)], np.multiply.accumulate(np.full(step + size, BASE, np.uint64))])
-    down = np.concatenate([[np.uint64(1)], np.multiply.accumulate(np.full(step, UNBASE, np.uint64))])
+    step = 1 << 18
+    up, down = _powers(BASE, step + size), _powers(UNBASE, step)
     for at in range(0, len(out), step):
         end = min(at + step, len(out))
         sums = np.concatenate([[np.uint64(0)], np.cumsum(BYTE_WORDS[data[at : end + size - 1]] * up[: end - at + size - 1], dtype=np.uint64)])
@@ -71,7 +77,7 @@ def segments(texts: list[bytes], window: int, context: int) -> Iterator[tuple[np
         w = window - context + 1
         n = len(data) - window + 1
         # least hash in each window, leftmost of equals: its high bits and its place in one word
-        bits = np.uint64(max(24, int(len(data)).bit_length()))
+        bits = np.uint64(31)
         packed = (hashes >> bits << bits) | np.arange(len(hashes), dtype=np.uint64)
         blocks = -(-len(packed) // w)
         grid = np.full(blocks * w, np.iinfo(np.uint64).max, np.uint64)
@@ -97,7 +103,8 @@ def segments(texts: list[bytes], window: int, context: int) -> Iterator[tuple[np
         heads, sizes_ = heads[keep], sizes_[keep]
         text = np.searchsorted(ends, heads, "right")
         spots = place[heads]
-        yield text + first, heads - begins[text], sizes_, spots - begins[text], hashes[spots]
+        # least hashes are small numbers: mixed again, they spread over bitmaps and buckets
+        yield text + first, heads - begins[text], sizes_, spots - begins[text], mix(hashes[spots] ^ np.uint64(BASE))
 
 
 def repeated_starts(parts: list[bytes], window: int) -> list[np.ndarray]:
@@ -164,9 +171,8 @@ def _minimizers(texts: DataFrame, window: int, context: int) -> DataFrame:
     return texts.mapInArrow(run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")).where("n > 1").select("key")
 
 
-def _suspects(batch: pa.RecordBatch, window: int, context: int, shared: Bitmap) -> Iterator[tuple[int, int, int, int, bytes, bytes]]:
+def _suspects(texts: list[bytes], window: int, context: int, shared: Bitmap) -> Iterator[tuple[int, int, int, int, bytes, bytes]]:
     """(text number, first start, starts, minimizer hash, segment, its digest) of the segments whose minimizer is shared."""
-    texts = batch.column(0).to_pylist()
     for text, first, size, _, key in segments(texts, window, context):
         take = np.nonzero(shared.has(key))[0]
         for t, a, n, k in zip(text[take].tolist(), first[take].tolist(), size[take].tolist(), key[take].view(np.int64).tolist(), strict=True):
@@ -178,45 +184,46 @@ def text_digest(text: bytes) -> bytes:
     return hashlib.sha256(text).digest()[:16]
 
 
-def _place(digest: bytes, start: int) -> bytes:
-    return digest + start.to_bytes(8, "big")
+def _place(digest: bytes, start: int) -> int:
+    return xxhash.xxh3_64_intdigest(digest + start.to_bytes(8, "big")) - (1 << 63)
+
+
+def _occurrences(texts: DataFrame, shared, window: int, context: int) -> DataFrame:
+    """Where suspect segments stand: text digest, start, number of starts, segment digest and a hash of the place."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("digest", pa.binary()), ("start", pa.int64()), ("n", pa.int64()), ("segment", pa.binary()), ("place", pa.int64())])
+        for batch in batches:
+            distinct = {text_digest(t): t for t in batch.column(0).to_pylist()}
+            digests = list(distinct)
+            cols: dict = {f.name: [] for f in schema}
+            for t, a, n, _, _, name in _suspects(list(distinct.values()), window, context, shared.value):
+                for c, v in zip(cols.values(), (digests[t], a, n, name, _place(digests[t], a)), strict=True):
+                    c.append(v)
+            yield arrow_rows(cols, schema)
+
+    return texts.mapInArrow(run, "digest binary, start bigint, n bigint, segment binary, place bigint")
 
 
-def _sorted_buckets(texts: DataFrame, shared, buckets: int, window: int, context: int) -> DataFrame:
+def _sorted_buckets(texts: DataFrame, shared, firsts, buckets: int, window: int, context: int) -> DataFrame:
     """(segment, firsts, ends): the runs of repeated starts of each segment that has any."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("bucket", pa.int64()), ("segment", pa.binary()), ("part", pa.binary()), ("low", pa.binary()), ("high", pa.binary())])
+        schema = pa.schema([("bucket", pa.int64()), ("segment", pa.binary()), ("part", pa.binary())])
         for batch in batches:
-            digests: dict[int, bytes] = {}
-            found: dict[bytes, list] = {}
-            texts_ = batch.column(0)
-            for t, a, _, key, part, name in _suspects(batch, window, context, shared.value):
-                if t not in digests:
-                    digests[t] = text_digest(texts_[t].as_py())
-                place = _place(digests[t], a)
-                row = found.get(name)
-                if row is None:
-                    found[name] = [key % buckets, part, place, place]
-                else:
-                    row[2], row[3] = min(row[2], place), max(row[3], place)
-            rows = list(found.items())
-            for at in range(0, len(rows), 5_000):
-                some = rows[at : at + 5_000]
-                yield arrow_rows({"bucket": [r[0] for _, r in some], "segment": [s for s, _ in some]} | {n: [r[k] for _, r in some] for k, n in enumerate(("part", "low", "high"), 1)}, schema)
+            distinct = {text_digest(t): t for t in batch.column(0).to_pylist()}
+            digests = list(distinct)
+            rows = [(name, key % buckets, part, _place(digests[t], a)) for t, a, _, key, part, name in _suspects(list(distinct.values()), window, context, shared.value)]
+            if rows:
+                first = firsts.value.has(np.array([r[3] for r in rows], np.int64))
+                found = {r[0]: r for r, f in zip(rows, first.tolist(), strict=True) if f}
+                yield arrow_rows({"bucket": [r[1] for r in found.values()], "segment": list(found), "part": [r[2] for r in found.values()]}, schema)
 
     def sort(t: pa.Table) -> pa.Table:
-        parts: dict[bytes, bytes] = {}
-        low: dict[bytes, bytes] = {}
-        high: dict[bytes, bytes] = {}
-        for s, p, a, b in zip(*(t.column(n).to_pylist() for n in ("segment", "part", "low", "high")), strict=True):
-            parts[s] = p
-            low[s], high[s] = min(low.get(s, a), a), max(high.get(s, b), b)
-        names = list(parts)
-        masks = repeated_starts([parts[s] for s in names], window)
+        parts = dict(zip(t.column("segment").to_pylist(), t.column("part").to_pylist(), strict=True))
         out: dict = {"segment": [], "firsts": [], "ends": []}
-        for s, mask in zip(names, masks, strict=True):
-            runs = np.array([[0, len(mask)]]) if low[s] != high[s] else runs_of(mask)
+        for s, mask in zip(parts, repeated_starts(list(parts.values()), window), strict=True):
+            runs = runs_of(mask)
             if len(runs):
                 out["segment"].append(s)
                 out["firsts"].append(runs[:, 0])
@@ -224,29 +231,10 @@ def _sorted_buckets(texts: DataFrame, shared, buckets: int, window: int, context
         ints = pa.list_(pa.int64())
         return pa.table(out, schema=pa.schema([("segment", pa.binary()), ("firsts", ints), ("ends", ints)]))
 
-    sent = texts.mapInArrow(send, "bucket bigint, segment binary, part binary, low binary, high binary")
+    sent = texts.mapInArrow(send, "bucket bigint, segment binary, part binary")
     return sent.groupBy("bucket").applyInArrow(sort, "segment binary, firsts array<bigint>, ends array<bigint>")
 
 
-def _occurrences(texts: DataFrame, shared, window: int, context: int) -> DataFrame:
-    """(digest, start, segment) of every suspect segment of every distinct text of a batch."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("digest", pa.binary()), ("start", pa.int64()), ("segment", pa.binary())])
-        for batch in batches:
-            digests = [text_digest(t) for t in batch.column(0).to_pylist()]
-            once = {d: t for t, d in enumerate(digests)}
-            cols: dict = {"digest": [], "start": [], "segment": []}
-            for t, a, _, _, _, name in _suspects(batch, window, context, shared.value):
-                if once[digests[t]] == t:
-                    cols["digest"].append(digests[t])
-                    cols["start"].append(a)
-                    cols["segment"].append(name)
-            yield arrow_rows(cols, schema)
-
-    return texts.mapInArrow(run, "digest binary, start bigint, segment binary")
-
-
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, context: int = CONTEXT) -> DataFrame:
     """One row per row of docs: id, n_bytes, n_removed, n_spans and kept (the remaining bytes)."""
     spark = docs.sparkSession
@@ -257,12 +245,17 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     shared_keys = save(_minimizers(texts, window, context), f"{root}/minimizers")
     shared = spark.sparkContext.broadcast(Bitmap.of(shared_keys))
+    places = save(_occurrences(texts, shared, window, context), f"{root}/places")
+    segment = save(places.groupBy("segment").agg(F.min("place").alias("low"), F.max("place").alias("high"), F.first("n").alias("n")), f"{root}/segments")
+    firsts = spark.sparkContext.broadcast(Bitmap.of(segment.select("low")))
     buckets = max(1, -(-total // BUCKET_BYTES))
-    repeats = save(_sorted_buckets(texts, shared, buckets, window, context), f"{root}/repeats")
+    alone = _sorted_buckets(texts, shared, firsts, buckets, window, context)
+    whole = segment.where("low <> high").select("segment", F.array(F.lit(0).cast("bigint")).alias("firsts"), F.array("n").alias("ends"))
+    repeats = save(alone.join(whole.select("segment"), "segment", "left_anti").unionByName(whole), f"{root}/repeats")
 
     dealt = repeats.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    places = _occurrences(texts, shared, window, context).distinct().withColumn("salt", F.pmod(F.xxhash64("digest", "start"), F.lit(SALTS)).cast("int"))
-    spans = places.join(dealt, ["segment", "salt"]).select("digest", F.transform("firsts", lambda x: x + F.col("start")).alias("firsts"), F.transform("ends", lambda x: x + F.col("start") + (window - 1)).alias("ends"))
+    salted_places = places.select("digest", "start", "segment").distinct().withColumn("salt", F.pmod(F.xxhash64("digest", "start"), F.lit(SALTS)).cast("int"))
+    spans = salted_places.join(dealt, ["segment", "salt"]).select("digest", F.transform("firsts", lambda x: x + F.col("start")).alias("firsts"), F.transform("ends", lambda x: x + F.col("start") + (window - 1)).alias("ends"))
     by_text = spans.groupBy("digest").agg(F.flatten(F.collect_list("firsts")).alias("firsts"), F.flatten(F.collect_list("ends")).alias("ends"))
 
     named = rows.withColumn("digest", F.substring(F.unhex(F.sha2("text", 256)), 1, 16))
