@@ -167,4 +167,25 @@ ORACLE_SQL = {
       select conv_id, file, count(*) as n, arg_min(rest, turn)[:200] as first_match from l group by conv_id, file""",
     "first_k_per_group": f"{_CALLS} r as (select category, event_id, timestamp, cast(row_number() over (partition by category order by timestamp, event_id) as int) as rank, count(*) over (partition by category) as n_group from calls) select * from r where rank <= 5",
     "classify_command": f"{_CALLS} t as (select * from calls where command_text <> '') select event_id, case when contains(command_text, '#') then null else 'tally ' || command_text end as rewritten from t",
+    "rule_keep_strip": r"""with d as (select doc_id, string_split(text, chr(10)) as a from documents where text is not null),
+      f as (select doc_id, list_transform(list_filter(a, lambda x: not regexp_matches(x, '^\s*The\b') and regexp_matches(x, 'e[rn]')), lambda x: regexp_replace(x, '([\p{L}\p{M}\p{Nd}\p{Pc}]+) of ([\p{L}\p{M}\p{Nd}\p{Pc}]+)', '\2<\1>', 'g')) as a from d),
+      t as (select doc_id, a[1:6] as a from f),
+      u as (select doc_id, case when len(a) > 4 then a[len(a) - 3 : len(a)] else a end as a from t),
+      e as (select doc_id, unnest(a) as line, unnest(generate_series(1, len(a))) as p from u union all select doc_id, '', 1 from u where len(a) = 0),
+      g as (select doc_id, line, min(p) as p from e group by doc_id, line)
+      select doc_id, cast(row_number() over (partition by doc_id order by p) - 1 as int) as pos, line from g""",
+    "byte_accounting": f"""with {_CLOSED},
+      cat as (select doc_id, unnest(a) as line, unnest(generate_series(1, n)) as pos, shut from sized where doc_id % 3 = 0),
+      m as (select *, line is distinct from lag(line) over (partition by doc_id order by pos) or pos = 1 as starts from cat),
+      r as (select *, sum(starts::int) over (partition by doc_id order by pos) as run from m),
+      g as (select doc_id, run, any_value(line) as line, count(*) as n, bool_or(shut) as shut from r group by doc_id, run),
+      o as (select doc_id, shut, case when n > 1 and line <> '' then line || '  [×' || cast(n as varchar) || ']' else line end as line, case when n > 1 and line <> '' then 1 else n end as times from g),
+      c as (select doc_id, sum(times * (strlen(case when length(line) <= 300 then line else line[:300] || '...(truncated)' end) + 1)) - 1 + max(shut::int) as after from o group by doc_id),
+      k as (select doc_id, case when n <= 20 then array_to_string(a, chr(10)) || case when shut then chr(10) else '' end
+            else array_to_string(list_concat(a[1:10], ['... (' || cast(n - 20 as varchar) || ' lines skipped — сузьте команду)'], a[n - 9 : n]), chr(10)) end as t from sized where doc_id % 3 = 1),
+      b as (select doc_id, strlen(coalesce(text, '')) as before from documents),
+      x as (select 'cat' as strategy, before, coalesce(c.after, 0) as after from b left join c on c.doc_id = b.doc_id where b.doc_id % 3 = 0
+            union all select 'digest', before, coalesce(strlen(t) + case when t <> '' and t not like '%' || chr(10) then 1 else 0 end, 0) from b left join k on k.doc_id = b.doc_id where b.doc_id % 3 = 1
+            union all select 'passthrough', before, before from b where doc_id % 3 = 2)
+      select strategy, count(*) as n, cast(sum(before) as bigint) as before, cast(sum(after) as bigint) as after from x group by strategy""",
 }

@@ -113,7 +113,7 @@ def test_line_rows(spark):
 
 
 def test_routing(spark):
-    big = "".join(f"f{i}:hit\n" for i in range(300))
+    big = "".join(f"f:hit {i}\n" for i in range(300))
     data = [
         (1, "git", ["status"], "?? a\n", "", 0), (2, "git", ["status", "-s"], "?? a\n", "", 0), (3, "git", ["push"], "long text", "", 0),
         (4, "grep", ["x"], "", "", 1), (5, "grep", ["-c", "x"], "9\n", "", 0), (6, "grep", ["x", "."], big, "", 0),
