@@ -9,7 +9,7 @@ Defined results: null and empty texts have no words; items without words match n
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -119,7 +119,7 @@ def blocks_of(benchmark: DataFrame, window: int, id_col: str = "item_id", text_c
         yield Block([(r.id, r.text.encode()) for r in part.collect()], window)
 
 
-def judge(blocks: list[Block], texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[set[str]]]:
+def judge(blocks: Iterable[Block], texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[set[str]]]:
     """Words, hit words and the listed items of each text."""
     docs = [words(t) for t in texts]
     sizes = np.array([len(d) for d in docs], np.int64)
@@ -145,6 +145,19 @@ def judge(blocks: list[Block], texts: list[bytes]) -> tuple[np.ndarray, np.ndarr
     return sizes, total[begins + sizes] - total[begins], items
 
 
+class _Held:
+    """The blocks within a worker, one after the other. A single block is kept; of several only one is in memory at a time."""
+
+    def __init__(self, cast: list):
+        self.cast = cast
+
+    def __iter__(self) -> Iterator[Block]:
+        for b in self.cast:
+            yield b.value
+            if len(self.cast) > 1:
+                b.__dict__.pop("_value", None)
+
+
 def _broadcast(docs: DataFrame, benchmark: DataFrame, window: int, block_bytes: int = BLOCK_BYTES) -> list:
     return [docs.sparkSession.sparkContext.broadcast(b) for b in blocks_of(benchmark, window, block_bytes=block_bytes)]
 
@@ -156,7 +169,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
     kind = source.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blocks = [b.value for b in cast]
+        blocks = _Held(cast)
         for batch in batches:
             sizes, hit, items = judge(blocks, batch.column(1).to_pylist())
             schema = pa.schema([("doc_id", batch.schema.field(0).type), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items", pa.list_(pa.string())), ("contaminated", pa.bool_())])
@@ -194,7 +207,7 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW)
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             docs_words = [words(t) for t in batch.column(1).to_pylist()]
-            rows = [x for b in cast for x in diagonals(b.value, docs_words)]
+            rows = [x for b in _Held(cast) for x in diagonals(b, docs_words)]
             schema = pa.schema([("doc_id", batch.schema.field(0).type), ("item_id", pa.string()), ("doc_word", pa.int64()), ("item_word", pa.int64()), ("n_words", pa.int64())])
             ids = batch.column(0).take(pa.array([x[0] for x in rows], pa.int64()))
             yield arrow_rows({"doc_id": ids} | {n: [x[k] for x in rows] for k, n in enumerate(("item_id", "doc_word", "item_word", "n_words"), 1)}, schema)
@@ -208,7 +221,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     at = docs.columns.index("text")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blocks = [b.value for b in cast]
+        blocks = _Held(cast)
         for batch in batches:
             texts = [t.encode() if t else b"" for t in batch.column(at).to_pylist()]
             yield batch.filter(pa.array(judge(blocks, texts)[1] == 0))
