@@ -1,6 +1,6 @@
 """N-gram Jaccard join by PartEnum signatures, and the groups its links make.
 
-Two sets with a Jaccard similarity of at least t differ in at most (1 - t) / (1 + t) of their summed sizes. Sizes are cut into overlapping bands such that two sets that can be similar share one; within a band at most k elements differ. The domain of shingle hashes is cut into n = k + 1 + spare partitions: at least spare + 1 of them hold the same elements in both sets. A set's signatures are the hashes of its partitions that hold something; if more than `spare` of its partitions are empty, also every subset of spare + 1 empty ones. So two similar sets always share a signature: either an equal partition that holds something, or, if all equal partitions are empty, a subset of empty ones.
+Two sets with a Jaccard similarity of at least t differ in at most (1 - t) / (1 + t) of their summed sizes. Sizes are cut into overlapping bands such that two sets that can be similar share one; within a band at most k elements differ. The domain of shingle hashes is cut into n = k + 1 + spare partitions: at least spare + 1 of them hold the same elements in both sets. A set's signatures are the hashes of its partitions that hold something. Should all equal partitions of two similar sets be empty, each set has more than `spare` empty ones, and each of its others holds an element that only one of the two has, of which there are at most (1 - t) / t of its own size. A set for which both hold also has the elements of its prefix as signatures, that is the smallest |set| - ceil(t |set|) + 1 hashes; similar sets always share an element of their prefixes. So two similar sets always share a signature, and no set has more of them than elements and partitions.
 
 Equal sets are joined by digest first and stand for one class. Signatures that only one class has are dropped; a bitmap of bounded size spares most of them the second shuffle. Of the classes that share a signature each is compared with one leader, then those in groups that still hold several components with another leader, and at last whatever pairs of different components still share a signature. Every comparison is made on whole texts, with exact integer arithmetic. All pairs within a group are never made: within one component no further link can change the result.
 
@@ -12,8 +12,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import combinations
-from math import ceil, comb, exp, floor, log2, sqrt
+from math import ceil, exp, floor, log2, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -97,6 +96,7 @@ def bands(size: int, percent: int) -> list[tuple[int, int, int]]:
 
 
 def signatures(elements: np.ndarray, percent: int) -> np.ndarray:
+    """Signatures of a set of sorted hashes: at most its partitions that hold something and a prefix, whatever the set."""
     out = []
     for band, n, spare in bands(len(elements), percent):
         part = (elements % np.uint64(n)).astype(np.int64)
@@ -106,12 +106,8 @@ def signatures(elements: np.ndarray, percent: int) -> np.ndarray:
         tag = np.arange(n, dtype=np.uint64) + np.uint64(band << 32)
         tags = mix(tag * ODD[2] + np.uint64(1))
         out.append(mix(total[held] ^ tags[held]))
-        empty = np.nonzero(~held)[0]
-        if len(empty) > spare:
-            if comb(len(empty), spare + 1) > 1_000_000:
-                raise ValueError(f"a set of {len(elements)} shingles leaves {len(empty)} of {n} partitions empty")
-            subsets = np.array(list(combinations(empty.tolist(), spare + 1)))
-            out.append(mix(tags[subsets].sum(axis=1, dtype=np.uint64) ^ ODD[3]))
+        if n - held.sum() > spare and held.sum() <= (100 - percent) * len(elements) // percent:
+            out.append(mix(elements[: len(elements) * (100 - percent) // 100 + 1] ^ ODD[3]))
     return np.unique(np.concatenate(out)) if out else np.zeros(0, np.uint64)
 
 

@@ -2,6 +2,7 @@ import random
 import re
 from collections import Counter
 from itertools import combinations
+from math import ceil
 
 import numpy as np
 
@@ -61,6 +62,23 @@ def test_similar_sets_share_a_signature():
                 assert np.intersect1d(J.signatures(a, percent), J.signatures(b, percent)).size, (n, percent)
 
 
+def test_any_set_has_complete_signatures():
+    rng = np.random.default_rng(9)
+    for percent in (80, 85):
+        for size in (7, 60, 700, 5_000, 28_700, 70_066, 171_058):
+            low_end = ceil((100 / percent) ** ((J.BAND_STEPS - 1) * J.bands(size, percent)[-1][0]))
+            step = np.prod([n for _, n, _ in J.bands(low_end, percent)], dtype=np.uint64)
+            differ = low_end * (100 - percent) // (100 + percent)
+            for scale in (np.uint64(1), step):  # any elements; all in one partition, so that all equal partitions are empty
+                drawn = np.unique(rng.integers(0, (1 << 63) // int(scale), low_end + differ + 9, dtype=np.uint64))
+                drawn = rng.permutation(drawn)[: low_end + differ] * scale
+                a, b = np.sort(drawn[:low_end]), np.sort(drawn[differ:])
+                assert J.similar(a, b, percent)
+                of_a, of_b = J.signatures(a, percent), J.signatures(b, percent)
+                assert np.intersect1d(of_a, of_b).size, (low_end, percent)
+                assert max(len(of_a), len(of_b)) <= sum(n for _, n, _ in J.bands(low_end, percent)) + low_end
+
+
 def test_groups_equal_brute_force(spark):
     for seed, size, percent in ((1, 4, 85), (2, 5, 80)):
         rows = copies(random.Random(seed), 260)
