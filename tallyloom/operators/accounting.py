@@ -22,7 +22,8 @@ def account(compacted: DataFrame) -> DataFrame:
     """The rows of route.compact with bytes_before and bytes_after."""
     raw = F.octet_length("stdout") + F.octet_length("stderr")
     name, out, err = F.col("strategy"), F.col("output"), F.col("stderr")
-    both = name.isin("lossless", "git.show", "git.blame", "git.stash", "ls", "rg", "cat")
+    listing = (name == "ls") & ~F.exists(F.coalesce("args", F.array().cast("array<string>")), lambda x: x.startswith("-"))  # printed like a report
+    both = name.isin("lossless", "git.show", "git.blame", "git.stash", "ls", "rg", "cat") & ~listing
     exit_note = F.when((name == "generic") & (F.col("exit_code") != 0), F.octet_length(F.format_string("[exit: %d]\n", "exit_code"))).otherwise(0)
     unchanged = (name == "passthrough") | (name == "git.log") | (name.isin("git.diff", "grep", "find") & (out == F.col("stdout")))
     after = F.when(unchanged, raw).when(both, F.octet_length(out) + F.octet_length(err)).when(name == "read", F.octet_length(out)).otherwise(shown_bytes(out) + F.when(name.isin(*WITH_ERRORS), shown_bytes(err)).otherwise(0) + exit_note)

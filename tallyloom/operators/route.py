@@ -32,7 +32,7 @@ def _has(args: Column, *flags: str) -> Column:
     return F.exists(args, lambda x: x.isin(*flags))
 
 
-def routes(branch: Column, rules: list[dict]) -> list[tuple[Column, str, Column | None]]:
+def routes(branch: Column, directories: Column, rules: list[dict]) -> list[tuple[Column, str, Column | None]]:
     """(condition, strategy, compacted output); None for output that passes through. The first that holds counts.
 
     A null output is a parser that had nothing to work on: the capture stays as it is and unrecorded.
@@ -47,6 +47,8 @@ def routes(branch: Column, rules: list[dict]) -> list[tuple[Column, str, Column
     lossless = X.cap(X.lossless(out))
     git = tool == "git"
     ls_flags = F.filter(args, lambda x: x.startswith("-"))
+    entries = F.filter(F.split(out, "\n", -1), lambda x: x != "")
+    is_dir = lambda x: F.coalesce(F.array_contains(directories, x), F.lit(False))
     python = lambda used, f: f(F.when(used, out))
     aws, read = (tool == "aws") & (F.size(args) > 0), (tool == "read") & ok
     pair = lambda t, a, b: (tool == t) & (sub == a) & (second == b)
@@ -64,6 +66,7 @@ def routes(branch: Column, rules: list[dict]) -> list[tuple[Column, str, Column
         (git & (sub == "commit") & ok, "git.mutating", F.coalesce(F.concat(F.lit("ok "), F.col("revision")), F.lit("ok"))),
         (git & sub.isin("add", "push", "pull", "fetch") & ok, "git.mutating", F.lit("ok")),
         ((tool == "ls") & (F.size(ls_flags) > 0) & F.forall(ls_flags, lambda x: x.isin("-l", "-a", "-la", "-al", "-lh", "-lah", "-ahl", "-hal", "-hla", "-alh", "-1", "-F")) & (F.size(args) - F.size(ls_flags) <= 1), "ls", lossless),
+        ((tool == "ls") & (F.size(ls_flags) == 0) & (F.size(args) <= 1) & ok & directories.isNotNull(), "ls", G.listing_text(F.coalesce(F.get(args, F.lit(0)), F.lit(".")), F.filter(entries, is_dir), F.filter(entries, lambda x: ~is_dir(x)))),
         ((tool == "grep") & ~F.exists(args, lambda x: x.isin(*GREP_FLAGS) | x.rlike("^(" + "|".join(GREP_PREFIXES) + ")")) & (code <= 1), "grep", F.when(code == 1, F.lit("no matches")).when(F.length(out) <= SMALL_GREP, out).otherwise(G.match_text(out))),
         ((tool == "find") & ~_has(args, *FIND_FLAGS) & ok, "find", F.when(F.length(out) <= SMALL_FIND, out).otherwise(G.path_text(out))),
         (tool.isin(*LOSSLESS), "lossless", lossless),
@@ -102,16 +105,16 @@ RULED = ("test", "linter", "package", "infra")
 
 
 def compact(captures: DataFrame, rules: list[dict] | None = None, bypass: list[str] | None = None) -> DataFrame:
-    """captures with strategy, output, passthrough and recorded. Optional columns branch and revision hold what git says of the work tree."""
+    """captures with strategy, output, passthrough and recorded. Optional columns branch and revision hold what git says of the work tree; directories (array of strings) the names among a listed directory's entries that are directories. Where it is null, as for a listed file, a bare ls passes through."""
     rules = rules or []
     rows = captures
-    for extra in ("branch", "revision"):
+    for extra, kind in (("branch", "string"), ("revision", "string"), ("directories", "array<string>")):
         if extra not in rows.columns:
-            rows = rows.withColumn(extra, F.lit(None).cast("string"))
+            rows = rows.withColumn(extra, F.lit(None).cast(kind))
     rows = rows.withColumns({"args": F.coalesce("args", F.array().cast("array<string>")), "stdout": F.coalesce("stdout", F.lit("")), "stderr": F.coalesce("stderr", F.lit(""))})
     skip = F.col("tool").isin(*bypass) if bypass else F.lit(False)
     strategy, output = F.when(skip, "passthrough"), F.when(skip, F.col("stdout"))
-    for test, name, text in routes(F.col("branch"), rules):
+    for test, name, text in routes(F.col("branch"), F.col("directories"), rules):
         test = F.coalesce(test, F.lit(False))
         strategy, output = strategy.when(test, name), output.when(test, text)
     rows = rows.withColumn("strategy", strategy.otherwise("passthrough"))

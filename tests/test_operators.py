@@ -112,6 +112,21 @@ def test_line_rows(spark):
     assert cut.where("id = 1").agg(F.sum("n")).first()[0] == 6
 
 
+def test_routing_of_listings(spark):
+    many = "".join(f"n{i:02d}\n" for i in range(31))
+    data = [
+        (1, [], "b\nA\nd\n", 0, ["d"]), (2, ["p/"], "x\n", 0, []), (3, ["p"], many, 0, ["n30", None]), (4, ["p", "q"], "p:\nx\n", 0, []), (5, ["p"], "x\n", 2, []),
+        (6, ["f"], "f\n", 0, None), (7, None, "", 0, []), (8, ["-Z"], "x\n", 0, []), (9, ["-1"], "x\nx\n", 0, ["x"]),
+    ]
+    df = spark.createDataFrame(data, "capture_id bigint, args array<string>, stdout string, exit_code int, directories array<string>").selectExpr("capture_id", "'ls' as tool", "args", "stdout", "'' as stderr", "exit_code", "directories")
+    got = {r.capture_id: r for r in accounting.account(route.compact(df)).collect()}
+    assert {k: r.strategy for k, r in got.items()} == {k: "ls" if k in (1, 2, 3, 7, 9) else "passthrough" for k in range(1, 10)}
+    assert got[1].output == "./ (3)\n  d\n  A\n  b" and got[2].output == "p/ (1)\n  x" and got[7].output == "./ (0)"
+    assert got[3].output == "p/ (31)\n  n30\n" + "".join(f"  n{i:02d}\n" for i in range(10)) + "  ... (20 more)"
+    assert (got[1].bytes_before, got[1].bytes_after) == (6, len(got[1].output) + 1) and got[6].output == "f\n"
+    assert route.compact(df.drop("directories")).where("capture_id = 1 and strategy = 'passthrough'").count() == 1
+
+
 def test_routing(spark):
     big = "".join(f"f:hit {i}\n" for i in range(300))
     data = [
