@@ -5,16 +5,28 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The ASCII white space of the contracts, [\x20\x09-\x0D].
 BLANKS = " \t\n\x0b\x0c\r"
+#: Bytes of one column that a Python worker turns into objects of its own at a time (one row may be longer).
+SLICE_BYTES = 2 << 20
+BATCH_BYTES, BATCH_SETTING = 4 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most BATCH_BYTES (or one row) in this session, unless it has a bound of its own: executors hold several at a time."""
+    if spark.conf.get(BATCH_SETTING, None) in (None, "64MB"):
+        spark.conf.set(BATCH_SETTING, f"{BATCH_BYTES}b")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -41,6 +53,7 @@ def _remove(spark: SparkSession, path: str) -> None:
 
 def workspace(spark: SparkSession, label: str) -> str:
     """A new folder for intermediate tables. It goes when the interpreter ends, as results are read from it lazily."""
+    bound_batches(spark)
     path = f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
     atexit.register(_remove, spark, path)
     return path
@@ -71,3 +84,16 @@ def lower_ascii(text: Column) -> Column:
 
 def arrow_rows(columns: dict, schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], type=f.type) for f in schema], schema=schema)
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: int, max_bytes: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches cut into pieces of one row or of at most max_bytes in a column of texts, bytes or 32-bit lists, without copies."""
+    for batch in batches:
+        values = batch.column(column)
+        size = pc.multiply(pc.list_value_length(values), 4) if pa.types.is_list(values.type) else pc.binary_length(values)
+        ends = np.cumsum(size.fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        at = 0
+        while at < batch.num_rows:
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + max_bytes, "right")))
+            yield batch.slice(at, to - at)
+            at = to

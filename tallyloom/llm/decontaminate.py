@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import arrow_rows, table, text_or_empty
+from tallyloom.llm.common import arrow_rows, bound_batches, table, text_or_empty
 
 BLOCK_BYTES = 8 << 20
 WINDOW = 10
@@ -159,6 +159,7 @@ class _Held:
 
 
 def _broadcast(docs: DataFrame, benchmark: DataFrame, window: int, block_bytes: int = BLOCK_BYTES) -> list:
+    bound_batches(docs.sparkSession)
     return [docs.sparkSession.sparkContext.broadcast(b) for b in blocks_of(benchmark, window, block_bytes=block_bytes)]
 
 

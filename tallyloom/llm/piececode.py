@@ -4,17 +4,19 @@ The given models are of the BPE kind. A row of pieces is the encoding of its tex
 
 * A boundary state is the piece that covers the last character before a cut, with the number of characters by which it reaches over the cut.
 * A chunk gives a matrix of weights from the states at its left cut to those at its right cut (`transfer`). Matrices are combined associatively (`combine`).
-* Running products over a text's chunks, forwards and then backwards, fix the one state at each cut (`states_at_cuts`), and every chunk is traced back by itself (`trace`).
+* Products go up a tree: neighbouring matrices are combined, then their products. From the top down, the state at the cut between two factors is the one that weighs most from the state before them to the state behind them (`inner_states`). FAN matrices meet in a task; of a text with more, the products of FAN neighbours go on as the matrices of a next level, so no task grows with a text.
+* With the states at both cuts known, every chunk is traced back by itself (`trace`).
 
-Inside a chunk the search needs to run only near the cuts: before a word's leading space mark every path has a piece boundary, as no piece holds the mark behind another character, and any two pieces may meet there. Text between two such places is encoded word by word from a cache. A text without spaces is searched from end to end.
+Inside a chunk the search needs to run only near the cuts: before a word's leading space mark every path has a piece boundary, as no piece holds the mark behind another character, and any two pieces may meet there. Text between two such places is encoded by the library. A text without spaces is searched from end to end.
 
-Texts of at most `chunk_chars` characters are one chunk and need no matrix. Of a giant text, a task holds one chunk at a time; the matrices of a text meet in one task, which is bounded: a text has at most 2 GB, so at most 2 GB / chunk_chars matrices of a few hundred bytes.
+Texts of at most `chunk_chars` characters are one chunk and need no matrix. Workers turn SLICE_BYTES of texts or chunks into Python objects at a time, and what they remember is bounded.
 
 Defined results: null and empty texts have no pieces and decode to the empty text; rows that repeat an id are encoded one by one; a literal space mark (U+2581) decodes to a space, as in the library; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,12 +24,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import arrow_rows, save, table, text_or_empty, workspace
+from tallyloom.llm.common import arrow_rows, drop, save, slices, table, text_or_empty, workspace
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 CHUNK_CHARS = 1 << 15
 MARK = "▁"
-REMEMBERED = 300_000
+#: Pairs of pieces that a worker remembers (some 10 MB).
+REMEMBERED = 50_000
+#: Matrices that are multiplied in one task.
+FAN = 256
 NEVER = float("-inf")
 
 State = tuple[str, int]
@@ -64,7 +69,6 @@ class Pieces:
             raise ValueError(f"pieces with a space mark inside: {inner[:3]}")
         self.byte_ids = {int(p.piece[1:-1], 16): k for k, p in enumerate(proto.pieces) if p.type == 6}
         self.bytes_of = [p.piece.replace(MARK, " ").encode() if p.type == 1 else bytes([int(p.piece[1:-1], 16)]) if p.type == 6 else b"" for p in proto.pieces]
-        self.words: dict[str, bytes] = {}
         self.meet: dict[tuple[str, str], bool] = {}
 
     def ids(self, piece: str) -> list[int]:
@@ -83,19 +87,8 @@ class Pieces:
         return known
 
     def encode_plain(self, text: str) -> bytes:
-        """Little-endian 32-bit ids of a text that starts with a mark; words come from a cache."""
-        if MARK * 2 in text:
-            return np.array(self.bare.encode(text), "<i4").tobytes()
-        words = text[1:].split(MARK)
-        cache = self.words
-        new = list({w for w in words if w not in cache})
-        if new:
-            if len(cache) + len(new) > REMEMBERED:
-                cache.clear()
-                new = list(set(words))
-            for w, ids in zip(new, self.bare.encode([MARK + w for w in new], num_threads=1), strict=True):
-                cache[w] = np.array(ids, "<i4").tobytes()
-        return b"".join([cache[w] for w in words])
+        """Little-endian 32-bit ids of a text that starts with a mark. The library is faster on whole texts than a memory of words: a tenth of a corpus's words are new."""
+        return array("i", self.bare.encode(text)).tobytes()
 
     def decode(self, ids: np.ndarray, first: bool = True) -> bytes:
         """The text of some ids; the mark that encoding puts before a text is dropped if they are its first."""
@@ -235,17 +228,40 @@ def combine(a: Matrix, b: Matrix) -> Matrix:
     return out
 
 
+def products(matrices: list[Matrix]) -> list[list[Matrix]]:
+    """The levels of a tree of products: neighbours are combined two by two, a last one without a neighbour goes up as it is."""
+    levels = [matrices]
+    while len(levels[-1]) > 1:
+        low = levels[-1]
+        levels.append([combine(*low[k : k + 2]) if k + 1 < len(low) else low[k] for k in range(0, len(low), 2)])
+    return levels
+
+
+def inner_states(matrices: list[Matrix], enter: State, leave: State) -> list[State]:
+    """The states at all cuts, from `enter` before the first matrix to `leave` behind the last, of the one best path."""
+    levels = products(matrices)
+    states = [enter, leave]
+    for low in levels[-2::-1]:
+        cuts = [states[0]]
+        for k in range(0, len(low), 2):
+            before, behind = states[k // 2], states[k // 2 + 1]
+            if k + 1 < len(low):
+                row = low[k].get(before, {})
+                cuts.append(max(row, key=lambda s, row=row, b=low[k + 1], to=behind: row[s] + b.get(s, {}).get(to, NEVER)))
+            cuts.append(behind)
+        states = cuts
+    return states
+
+
+def last_state(whole: Matrix) -> State:
+    """The state behind a whole text, from the product of all its matrices."""
+    row = whole[("", 0)]
+    return max(row, key=row.get)
+
+
 def states_at_cuts(matrices: list[Matrix]) -> list[State]:
     """The state at every cut of the one best path, from the first cut to the text's end."""
-    forward: list[dict[State, float]] = [{("", 0): 0.0}]
-    for m in matrices:
-        forward.append(combine({("", 0): forward[-1]}, m).get(("", 0), {}))
-    state = max(forward[-1], key=forward[-1].get)
-    out = [state]
-    for m, reached in zip(reversed(matrices), reversed(forward[:-1]), strict=True):
-        state = max((s for s in reached if state in m.get(s, {})), key=lambda s, to=state, m=m, reached=reached: reached[s] + m[s][to])
-        out.append(state)
-    return out[::-1]
+    return inner_states(matrices, ("", 0), last_state(products(matrices)[-1][0]))
 
 
 def encode_giant(model: Pieces, text: str, chunk_chars: int) -> bytes:
@@ -285,7 +301,7 @@ CHUNK_ROWS = "key string, id {id}, chunk int, seen string, left int, right int"
 def _chunks(giants: DataFrame, model: str, chunk_chars: int, kind: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         longest = pieces(model).longest
-        for batch in batches:
+        for batch in slices(batches, 2):
             schema = pa.schema([("key", pa.string()), ("id", batch.schema.field(1).type), ("chunk", pa.int32()), ("seen", pa.string()), ("left", pa.int32()), ("right", pa.int32())])
             for key, id_, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 for k, (seen, left, right) in enumerate(cut(MARK + text.replace(" ", MARK), chunk_chars, longest)):
@@ -294,44 +310,85 @@ def _chunks(giants: DataFrame, model: str, chunk_chars: int, kind: str) -> DataF
     return giants.mapInArrow(run, CHUNK_ROWS.format(id=kind))
 
 
+MATRIX_ROWS = "key string, chunk int, names array<string>, over array<int>, enter array<int>, leave array<int>"
+_INTS = pa.list_(pa.int32())
+MATRIX_SCHEMA = pa.schema([("key", pa.string()), ("chunk", pa.int32()), ("names", pa.list_(pa.string())), ("over", _INTS), ("enter", _INTS), ("leave", _INTS)])
+STATE_ROWS = "key string, chunk int, enter string, enter_over int, leave string, leave_over int"
+STATE_SCHEMA = pa.schema([("key", pa.string()), ("chunk", pa.int32()), ("enter", pa.string()), ("enter_over", pa.int32()), ("leave", pa.string()), ("leave_over", pa.int32())])
+
+
+def _matrix_rows(keys: list[str], chunks: list[int], matrices: list[Matrix]) -> pa.RecordBatch:
+    packed = [_pack(m) for m in matrices]
+    return arrow_rows({"key": keys, "chunk": chunks} | {n: [p[k] for p in packed] for k, n in enumerate(("names", "over", "enter", "leave"))}, MATRIX_SCHEMA)
+
+
 def _transfers(chunks: DataFrame, model: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 2):
             cols = batch.to_pydict()
-            packed = [_pack(Chunk(pieces(model), s, a, b).transfer()) for s, a, b in zip(cols["seen"], cols["left"], cols["right"], strict=True)]
-            ints = pa.list_(pa.int32())
-            schema = pa.schema([("key", pa.string()), ("chunk", pa.int32()), ("names", pa.list_(pa.string())), ("over", ints), ("enter", ints), ("leave", ints)])
-            yield arrow_rows({"key": cols["key"], "chunk": cols["chunk"]} | {n: [p[k] for p in packed] for k, n in enumerate(("names", "over", "enter", "leave"))}, schema)
+            yield _matrix_rows(cols["key"], cols["chunk"], [Chunk(pieces(model), s, a, b).transfer() for s, a, b in zip(cols["seen"], cols["left"], cols["right"], strict=True)])
+
+    return chunks.select("key", "chunk", "seen", "left", "right").mapInArrow(run, MATRIX_ROWS)
+
+
+def _matrices(t: pa.Table) -> tuple[list[int], list[Matrix]]:
+    rows = sorted(t.to_pylist(), key=lambda r: r["chunk"])
+    return [r["chunk"] for r in rows], [_unpack(r["names"], r["over"], r["enter"], r["leave"]) for r in rows]
+
+
+def _combined(matrices: DataFrame, fan: int) -> DataFrame:
+    """The next level: the product of each `fan` neighbours of a text."""
+
+    def run(key: tuple, t: pa.Table) -> pa.Table:
+        _, own = _matrices(t)
+        return pa.Table.from_batches([_matrix_rows([key[0].as_py()], [key[1].as_py()], [products(own)[-1][0]])])
+
+    grouped = matrices.withColumn("above", F.expr(f"chunk div {fan}").cast("int")).groupBy("key", "above")
+    return grouped.applyInArrow(run, MATRIX_ROWS)
+
+
+def _state_rows(key: str, chunks: list[int], states: list[State]) -> pa.Table:
+    cols: dict = {"key": [key] * len(chunks), "chunk": chunks}
+    for side, part in (("enter", states), ("leave", states[1:])):
+        cols |= {side: [s[0] for s in part[: len(chunks)]], f"{side}_over": [s[1] for s in part[: len(chunks)]]}
+    return pa.Table.from_batches([arrow_rows(cols, STATE_SCHEMA)])
 
-    return chunks.select("key", "chunk", "seen", "left", "right").mapInArrow(run, "key string, chunk int, names array<string>, over array<int>, enter array<int>, leave array<int>")
 
+def _scan(transfers: DataFrame, root: str, fan: int) -> DataFrame:
+    """key, chunk and the states at the chunk's two cuts: up the levels of products, and down again."""
+    levels = [transfers]
+    while not levels[-1].where(F.col("chunk") >= fan).isEmpty():
+        levels.append(save(_combined(levels[-1], fan), f"{root}/level{len(levels)}"))
 
-def _scan(transfers: DataFrame) -> DataFrame:
-    """key, chunk and the states at the chunk's two cuts."""
+    def top(t: pa.Table) -> pa.Table:
+        chunks, own = _matrices(t)
+        return _state_rows(t.column("key")[0].as_py(), chunks, states_at_cuts(own))
 
-    def run(t: pa.Table) -> pa.Table:
-        rows = sorted(t.to_pylist(), key=lambda r: r["chunk"])
-        states = states_at_cuts([_unpack(r["names"], r["over"], r["enter"], r["leave"]) for r in rows])
-        cols = {"key": [r["key"] for r in rows], "chunk": [r["chunk"] for r in rows]}
-        for side, part in (("enter", states), ("leave", states[1:])):
-            cols |= {side: [s[0] for s in part[: len(rows)]], f"{side}_over": [s[1] for s in part[: len(rows)]]}
-        return pa.table(cols, schema=pa.schema([("key", pa.string()), ("chunk", pa.int32()), ("enter", pa.string()), ("enter_over", pa.int32()), ("leave", pa.string()), ("leave_over", pa.int32())]))
+    def inner(t: pa.Table) -> pa.Table:
+        chunks, own = _matrices(t.select(MATRIX_SCHEMA.names))
+        first = {n: t.column(f"above_{n}")[0].as_py() for n in STATE_SCHEMA.names[2:]}
+        return _state_rows(t.column("key")[0].as_py(), chunks, inner_states(own, (first["enter"], first["enter_over"]), (first["leave"], first["leave_over"])))
 
-    return transfers.groupBy("key").applyInArrow(run, "key string, chunk int, enter string, enter_over int, leave string, leave_over int")
+    states = levels[-1].groupBy("key").applyInArrow(top, STATE_ROWS)
+    for low in levels[-2::-1]:
+        above = states.select(F.col("key"), F.col("chunk").alias("above"), *[F.col(n).alias(f"above_{n}") for n in STATE_SCHEMA.names[2:]])
+        known = low.withColumn("above", F.expr(f"chunk div {fan}").cast("int")).join(above, ["key", "above"])
+        states = known.groupBy("key", "above").applyInArrow(inner, STATE_ROWS)
+    return states
 
 
 def _traced(chunks: DataFrame, states: DataFrame, model: str, kind: str) -> DataFrame:
     joined = chunks.join(states, ["key", "chunk"]).select("key", "id", "chunk", "seen", "left", "right", "enter", "enter_over", "leave", "leave_over")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 3):
             c = batch.to_pydict()
             ids = []
             for k in range(batch.num_rows):
                 chunk = Chunk(pieces(model), c["seen"][k], c["left"][k], c["right"][k])
-                ids.append(np.frombuffer(chunk.trace((c["enter"][k], c["enter_over"][k]), (c["leave"][k], c["leave_over"][k])), "<i4"))
+                ids.append(chunk.trace((c["enter"][k], c["enter_over"][k]), (c["leave"][k], c["leave_over"][k])))
             schema = pa.schema([("key", pa.string()), ("id", batch.schema.field(1).type), ("chunk", pa.int32()), ("ids", pa.list_(pa.int32()))])
-            yield arrow_rows({"key": c["key"], "id": batch.column(1), "chunk": c["chunk"], "ids": ids}, schema)
+            yield arrow_rows({"key": c["key"], "id": batch.column(1), "chunk": c["chunk"], "ids": _lists(ids)}, schema)
 
     return joined.mapInArrow(run, f"key string, id {kind}, chunk int, ids array<int>")
 
@@ -341,7 +398,7 @@ def _lists(parts: list[bytes]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.cumsum(sizes), pa.int32()), pa.array(np.frombuffer(b"".join(parts), "<i4"), pa.int32()))
 
 
-def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
+def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL, chunk_chars: int = CHUNK_CHARS, fan: int = FAN) -> DataFrame:
     """The id and token_ids of every row of docs."""
     root = workspace(docs.sparkSession, "pieces")
     rows = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
@@ -350,7 +407,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = pieces(model)
-        for batch in batches:
+        for batch in slices(batches, 1):
             ids = [p.encode_plain(MARK + t.replace(" ", MARK)) if t else b"" for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), _lists(ids)], [id_col, "token_ids"])
 
@@ -358,8 +415,9 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
     # rows that repeat an id must not mix: a row's key also holds its text's digest and a number of its own
     keyed = giant.select(F.concat_ws("/", F.expr("uuid()"), F.xxhash64("id", "text").cast("string")).alias("key"), "id", "text")
     chunks = save(_chunks(keyed, model, chunk_chars, kind), f"{root}/chunks")
-    states = _scan(save(_transfers(chunks, model), f"{root}/transfers"))
+    states = _scan(save(_transfers(chunks, model), f"{root}/transfers"), root, fan)
     traced = save(_traced(chunks, states, model, kind), f"{root}/traced")
+    drop(docs.sparkSession, f"{root}/chunks")
     parts = F.array_sort(F.collect_list(F.struct("chunk", "ids")))
     whole = traced.groupBy("key").agg(F.first("id").alias(id_col), F.flatten(F.transform(parts, lambda x: x["ids"])).alias("token_ids")).select(id_col, "token_ids")
     return direct.unionByName(whole)
@@ -372,7 +430,7 @@ def decode(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "token_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = pieces(model)
-        for batch in batches:
+        for batch in slices(batches, 1):
             values, ends = batch.column(1).flatten().to_numpy(), batch.column(1).offsets.to_numpy()
             ends = ends - ends[0]
             texts = [p.decode(values[a:b]).decode("utf-8", "replace") for a, b in zip(ends[:-1], ends[1:], strict=True)]

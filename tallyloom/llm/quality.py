@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import arrow_rows, table, text_or_empty
+from tallyloom.llm.common import arrow_rows, bound_batches, table, text_or_empty
 from tallyloom.llm.hashedtext import SIZE, Adam, Sparse, WordWeights, first_ids, sigmoid, slot, vectors
 
 MAX_RATED = 12_000
@@ -127,6 +127,7 @@ def grade_texts(model: Ordinal, batches: Iterator[list[bytes]], min_grade: int)
 
 
 def _shipped(docs: DataFrame, model: Ordinal):
+    bound_batches(docs.sparkSession)
     return docs.sparkSession.sparkContext.broadcast(Ordinal(model.weights.astype("f4"), model.thresholds, model.grades))
 
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import arrow_rows, table, text_or_empty
+from tallyloom.llm.common import arrow_rows, bound_batches, table, text_or_empty
 from tallyloom.llm.decontaminate import words
 from tallyloom.llm.hashedtext import SIZE, Adam, Sparse, WordWeights, first_ids, sigmoid, slot, vectors
 
@@ -86,6 +86,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE, ma
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float] | None, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score and predicted for every row of docs."""
+    bound_batches(docs.sparkSession)
     cast = docs.sparkSession.sparkContext.broadcast(None if model is None else (model[0].astype("f4"), model[1]))
     source = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), text_or_empty().cast("binary").alias("text"))
     kind = source.schema["doc_id"].dataType.simpleString()

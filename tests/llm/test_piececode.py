@@ -46,7 +46,7 @@ def test_rows(spark, library):
     long = "".join(random.Random(2).choice(["word ", "tion", " ", "漢", "\n", "the "]) for _ in range(9000))
     rows = [(1, "hello world"), (1, "hello world"), (1, long), (1, long), (2, None), (3, ""), (None, "x y"), (4, "無" * 3000), (5, "a " * 100000)]
     df = spark.createDataFrame([(i, t, "k") for i, t in rows], "doc_id bigint, text string, key string")
-    encoded = P.encode(df, chunk_chars=700)
+    encoded = P.encode(df, chunk_chars=700, fan=4)
     got = P.decode(encoded).collect()
     want = [(i, library.encode(t or ""), t or "") for i, t in rows]
     order = lambda x: (str(x[0]), len(x[1]), x[2])
