@@ -10,6 +10,7 @@ from tallyloom.functions import text as X
 from tallyloom.functions.arrays import let
 from tallyloom.functions.rules import apply_rules
 from tallyloom.operators import accounting, ledger, lines, route, sessions
+from tallyloom.plans import reports
 from tallyloom.sources import derived, sinks
 
 DAY = 86400
@@ -189,3 +190,6 @@ ORACLE_SQL = {
             union all select 'passthrough', before, before from b where doc_id % 3 = 2)
       select strategy, count(*) as n, cast(sum(before) as bigint) as before, cast(sum(after) as bigint) as after from x group by strategy""",
 }
+
+QUERIES |= reports.QUERIES
+ORACLE_SQL |= reports.ORACLE_SQL
