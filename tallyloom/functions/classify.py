@@ -48,7 +48,7 @@ def _tokens(command: str | None) -> list[str] | None:
 
 def may_rewrite(t: Column) -> Column:
     """Whether a command's tokens are on the list."""
-    head, second, third = t[0], F.get(t, F.lit(1)), F.get(t, F.lit(2))
+    head, second, third = F.get(t, F.lit(0)), F.get(t, F.lit(1)), F.get(t, F.lit(2))
     rest = F.slice(t, 2, F.size(t))
     fixes = F.exists(rest, lambda x: x.startswith("--fix"))
     ok = head.isin(*ALWAYS)

@@ -8,9 +8,8 @@ from pyspark.sql import functions as F
 from tallyloom.sources.schema import CALLS
 
 MOST_TEXT = 4096
-#: Strategies whose standard error is shown beside their output, and those that add no final newline.
+#: Strategies whose standard error is shown beside their output.
 WITH_ERRORS = ("generic", "errors", "digest")
-NO_NEWLINE = ("passthrough", "read", "lossless", "git.show", "git.blame", "git.stash", "git.log", "ls", "rg", "cat")
 
 
 def shown_bytes(text: Column) -> Column:
@@ -33,7 +32,7 @@ def account(compacted: DataFrame) -> DataFrame:
 def ledger_rows(accounted: DataFrame, now: Column, keep_text: bool = True) -> DataFrame:
     """Rows of CALLS for what was recorded. Command texts are user input: keep_text=False leaves them out."""
     command = F.array_join(F.concat(F.array("tool"), F.col("args")), " ")
-    rows = accounted.where("recorded").select(
+    call = F.struct(
         F.sha1(command).alias("command_hash"),
         (F.substring(command, 1, MOST_TEXT) if keep_text else F.lit("")).alias("command_text"),
         F.col("tool").alias("category"),
@@ -44,6 +43,8 @@ def ledger_rows(accounted: DataFrame, now: Column, keep_text: bool = True) -> Da
         "passthrough",
         "strategy",
     )
+    # a filter would be pushed below the routes' expressions, copies of which it would then hold; exploding drops rows where it stands
+    rows = accounted.select(F.explode(F.when(F.col("recorded"), F.array(call))).alias("call")).select("call.*")
     return rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in CALLS])
 
 

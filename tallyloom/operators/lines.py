@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,16 +37,15 @@ def secret_rows(lines: DataFrame) -> DataFrame:
     return lines.where(names_secret(F.col("line")))
 
 
-def first_k(rows: DataFrame, by: list[str], order: list[str], k: int, shares: int = 16) -> DataFrame:
-    """The first k rows of each group and the group's size as n_group.
+def first_k(rows: DataFrame, by: list[str], order: list[str], k: int) -> DataFrame:
+    """The first k rows of each group as rank, and the group's size as n_group. Null keys are a group of their own.
 
-    Groups of any size: each is first cut to k rows within shares, so a hot group's rows never meet in one task.
+    Groups of any size: ranks beyond k are cut off before the shuffle (a window group limit), and sizes are counted before theirs, so only k rows a group and task travel.
     """
-    salted = rows.withColumn("_share", F.pmod(F.xxhash64(*order), F.lit(shares)))
-    share, whole = Window.partitionBy(*by, "_share").orderBy(*order), Window.partitionBy(*by).orderBy(*order)
-    cut = salted.withColumn("_rank", F.row_number().over(share)).where(F.col("_rank") <= k).withColumn("rank", F.row_number().over(whole)).where(F.col("rank") <= k)
-    sizes = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n_group"))
-    return cut.drop("_share", "_rank").join(sizes, by)
+    few = rows.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("rank") <= k).alias("few")
+    sizes = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n_group")).alias("sizes")
+    same = reduce(lambda a, b: a & b, [F.col(f"few.`{c}`").eqNullSafe(F.col(f"sizes.`{c}`")) for c in by])
+    return few.join(sizes, same).select("few.*", "sizes.n_group")
 
 
 def path_rows(paths: DataFrame, path: Column, names: int = 10) -> DataFrame:

@@ -25,6 +25,10 @@ FIND_FLAGS = ("-print0", "-printf", "-ls", "-delete", "-exec", "-execdir", "-ok"
 BRANCH_FLAGS = ("-a", "-r", "-l", "--list", "--show-current", "-v", "--verbose", "-vv", "--no-color")
 SMALL_DIFF = SMALL_GREP = 1000
 SMALL_FIND = 200
+#: What is shown for a file in no language that summaries know.
+UNKNOWN, SUMMARIZED = "unknown language", (".py", ".rs", ".ts")
+#: Strategies that show nothing but standard error if their command fails.
+QUIET = ("git.status", "git.diff", "git.log", "git.branch", "git.mutating", "find", "read", "smart")
 LOSSLESS = ("wc", "head", "tail", "sort", "uniq")
 
 
@@ -32,10 +36,10 @@ def _has(args: Column, *flags: str) -> Column:
     return F.exists(args, lambda x: x.isin(*flags))
 
 
-def routes(branch: Column, directories: Column, rules: list[dict]) -> list[tuple[Column, str, Column | None]]:
+def routes(branch: Column, directories: Column, rules: list[dict], ultra: bool = False, failures_only: bool = False) -> list[tuple[Column, str, Column | None]]:
     """(condition, strategy, compacted output); None for output that passes through. The first that holds counts.
 
-    A null output is a parser that had nothing to work on: the capture stays as it is and unrecorded.
+    A null output is a command that failed, or a parser that had nothing to work on: the capture is unrecorded.
     """
     tool, args, out, code = F.col("tool"), F.col("args"), F.col("stdout"), F.col("exit_code")
     sub = F.coalesce(F.get(args, F.lit(0)), F.lit(""))
@@ -54,27 +58,29 @@ def routes(branch: Column, directories: Column, rules: list[dict]) -> list[tuple
     pair = lambda t, a, b: (tool == t) & (sub == a) & (second == b)
     infra = ((tool == "docker") & sub.isin("ps", "images", "logs")) | pair("docker", "compose", "ps") | ((tool == "kubectl") & sub.isin("logs", "get")) | ((tool == "gh") & sub.isin("pr", "issue", "run"))
     known_read = F.when(level == "aggressive", ext.isin(*O.OUTLINED)).when(level == "minimal", ext.isin(".py", *O.SLASH_COMMENTS)).otherwise(F.lit(False))
-    test = lambda name: R.test_text(R.TEST_REPORTS[name](text))
+    test = lambda name: R.test_text(R.TEST_REPORTS[name](text), failures_only)
     return [
-        (git & (sub == "status") & (F.size(args) == 1) & ok, "git.status", G.status_text(out, branch)),
-        (git & (sub == "diff") & ~_has(rest, *DIFF_FLAGS) & ok, "git.diff", F.when(F.length(out) <= SMALL_DIFF, out).otherwise(G.diff_text(out))),
-        (git & (sub == "log") & ~_has(rest, *LOG_FLAGS) & ok, "git.log", out),
-        (git & (sub == "branch") & ~F.forall(rest, lambda x: x.isin(*BRANCH_FLAGS)) & ok, "git.branch", F.lit("ok")),
+        (git & (sub == "status") & (F.size(args) == 1), "git.status", F.when(ok, G.status_text(out, branch, ultra))),
+        (git & (sub == "diff") & ~_has(rest, *DIFF_FLAGS), "git.diff", F.when(ok & (F.length(out) <= SMALL_DIFF), out).when(ok, G.diff_text(out))),
+        (git & (sub == "log") & ~_has(rest, *LOG_FLAGS), "git.log", F.when(ok, out)),
+        (git & (sub == "branch") & ~F.forall(rest, lambda x: x.isin(*BRANCH_FLAGS)), "git.branch", F.when(ok, F.lit("ok"))),
         (git & (sub == "show"), "git.show", lossless),
         (git & (sub == "blame"), "git.blame", lossless),
         (git & (sub == "stash") & (second == "list"), "git.stash", lossless),
-        (git & (sub == "commit") & ok, "git.mutating", F.coalesce(F.concat(F.lit("ok "), F.col("revision")), F.lit("ok"))),
-        (git & sub.isin("add", "push", "pull", "fetch") & ok, "git.mutating", F.lit("ok")),
+        (git & (sub == "commit"), "git.mutating", F.when(ok, F.coalesce(F.concat(F.lit("ok "), F.col("revision")), F.lit("ok")))),
+        (git & sub.isin("add", "push", "pull", "fetch"), "git.mutating", F.when(ok, F.lit("ok"))),
         ((tool == "ls") & (F.size(ls_flags) > 0) & F.forall(ls_flags, lambda x: x.isin("-l", "-a", "-la", "-al", "-lh", "-lah", "-ahl", "-hal", "-hla", "-alh", "-1", "-F")) & (F.size(args) - F.size(ls_flags) <= 1), "ls", lossless),
-        ((tool == "ls") & (F.size(ls_flags) == 0) & (F.size(args) <= 1) & ok & directories.isNotNull(), "ls", G.listing_text(F.coalesce(F.get(args, F.lit(0)), F.lit(".")), F.filter(entries, is_dir), F.filter(entries, lambda x: ~is_dir(x)))),
-        ((tool == "grep") & ~F.exists(args, lambda x: x.isin(*GREP_FLAGS) | x.rlike("^(" + "|".join(GREP_PREFIXES) + ")")) & (code <= 1), "grep", F.when(code == 1, F.lit("no matches")).when(F.length(out) <= SMALL_GREP, out).otherwise(G.match_text(out))),
-        ((tool == "find") & ~_has(args, *FIND_FLAGS) & ok, "find", F.when(F.length(out) <= SMALL_FIND, out).otherwise(G.path_text(out))),
+        ((tool == "ls") & (F.size(ls_flags) == 0) & (F.size(args) <= 1) & ok & directories.isNotNull(), "ls", G.listing_text(F.coalesce(F.get(args, F.lit(0)), F.lit(".")), F.filter(entries, is_dir), F.filter(entries, lambda x: ~is_dir(x)), ultra)),
+        ((tool == "grep") & ~F.exists(args, lambda x: x.isin(*GREP_FLAGS) | x.rlike("^(" + "|".join(GREP_PREFIXES) + ")")), "grep", F.when(code == 1, F.lit("no matches")).when(ok & (F.length(out) <= SMALL_GREP), out).when(ok, G.match_text(out))),
+        ((tool == "find") & ~_has(args, *FIND_FLAGS), "find", F.when(ok & (F.length(out) <= SMALL_FIND), out).when(ok, G.path_text(out))),
         (tool.isin(*LOSSLESS), "lossless", lossless),
         (tool == "rg", "rg", lossless),
         (tool == "cat", "cat", lossless),
         (read & known_read & (level == "minimal"), "read", O.without_comments(out, ext)),
         (read & known_read, "read", O.outline(F.when(read & known_read & (level == "aggressive"), out), ext)),
-        ((tool == "smart") & ok & ext.isin(".py", ".rs", ".ts"), "smart", O.summary_text(out, ext)),
+        ((tool == "read") & ~ok, "read", F.lit(None).cast("string")),
+        ((tool == "smart") & ~ext.isin(*SUMMARIZED), "smart", F.lit(UNKNOWN)),
+        (tool == "smart", "smart", F.when(ok, O.summary_text(out, ext))),
         (tool == "pytest", "test", test("pytest")),
         ((tool == "cargo") & (sub == "test"), "test", test("cargo")),
         ((tool == "go") & (sub == "test"), "test", test("go")),
@@ -104,21 +110,26 @@ def routes(branch: Column, directories: Column, rules: list[dict]) -> list[tuple
 RULED = ("test", "linter", "package", "infra")
 
 
-def compact(captures: DataFrame, rules: list[dict] | None = None, bypass: list[str] | None = None) -> DataFrame:
-    """captures with strategy, output, passthrough and recorded. Optional columns branch and revision hold what git says of the work tree; directories (array of strings) the names among a listed directory's entries that are directories. Where it is null, as for a listed file, a bare ls passes through."""
+def compact(captures: DataFrame, rules: list[dict] | None = None, bypass: list[str] | None = None, ultra: bool = False, failures_only: bool = False) -> DataFrame:
+    """captures with strategy, output, passthrough and recorded. Optional columns branch and revision hold what git says of the work tree; directories (array of strings) the names among a listed directory's entries that are directories. Where it is null, as for a listed file, a bare ls passes through. ultra: the shortest listings; failures_only: test reports without their counts. Commands that failed are shown and not recorded."""
     rules = rules or []
     rows = captures
     for extra, kind in (("branch", "string"), ("revision", "string"), ("directories", "array<string>")):
         if extra not in rows.columns:
             rows = rows.withColumn(extra, F.lit(None).cast(kind))
     rows = rows.withColumns({"args": F.coalesce("args", F.array().cast("array<string>")), "stdout": F.coalesce("stdout", F.lit("")), "stderr": F.coalesce("stderr", F.lit(""))})
+    table = routes(F.col("branch"), F.col("directories"), rules, ultra, failures_only)
     skip = F.col("tool").isin(*bypass) if bypass else F.lit(False)
-    strategy, output = F.when(skip, "passthrough"), F.when(skip, F.col("stdout"))
-    for test, name, text in routes(F.col("branch"), F.col("directories"), rules):
-        test = F.coalesce(test, F.lit(False))
-        strategy, output = strategy.when(test, name), output.when(test, text)
-    rows = rows.withColumn("strategy", strategy.otherwise("passthrough"))
+    way, strategy = F.when(skip, -1), F.when(F.col("way") < 0, "passthrough")
+    shown: dict[int, tuple[Column | None, list[int]]] = {}  # routes that show the same share one branch
+    for k, (test, name, text) in enumerate(table):
+        way, strategy = way.when(F.coalesce(test, F.lit(False)), k), strategy.when(F.col("way") == k, name)
+        shown.setdefault(id(text), (text, []))[1].append(k)
+    output = F.when(F.col("way") < 0, F.col("stdout"))
+    for text, ways in shown.values():
+        output = output.when(F.col("way").isin(*ways), text)
+    rows = rows.withColumn("way", way.otherwise(-1)).withColumn("strategy", strategy)
     nothing = F.col("strategy").isin(*RULED) & (F.col("stdout") == "")
     out = rows.withColumn("compacted", F.when(~nothing, output.otherwise(F.col("stdout"))))
     ruled = F.when(F.col("strategy").isin(*RULED) & (F.col("compacted") != ""), apply_rules(F.col("compacted"), F.col("tool"), rules)).otherwise(F.col("compacted"))
-    return out.select(*captures.columns, "strategy", F.coalesce(ruled, F.col("stdout")).alias("output"), (F.col("strategy") == "passthrough").cast("int").alias("passthrough"), F.col("compacted").isNotNull().alias("recorded"))
+    return out.select(*captures.columns, "strategy", F.coalesce(ruled, F.when(F.col("strategy").isin(*QUIET) & (F.col("exit_code") != 0), "").otherwise(F.col("stdout"))).alias("output"), (F.col("strategy") == "passthrough").cast("int").alias("passthrough"), (F.col("compacted").isNotNull() & ~((F.col("strategy") == "smart") & (F.col("compacted") == UNKNOWN))).alias("recorded"))

@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallyloom.functions import classify as C
 from tallyloom.functions import groups as G
 from tallyloom.functions import text as X
 from tallyloom.functions.arrays import let
 from tallyloom.functions.rules import apply_rules
 from tallyloom.operators import accounting, ledger, lines, route, sessions
-from tallyloom.plans import reports
+from tallyloom.plans import reports, routing
 from tallyloom.sources import derived, sinks
 
 DAY = 86400
@@ -64,11 +63,6 @@ def _url_paths(spark, sf):
     return lines.path_rows(pages, F.col("url"))
 
 
-def _classified(spark, sf):
-    calls = derived.calls(spark, sf).where("command_text <> ''")
-    return calls.select("event_id", C.rewrite(F.col("command_text")).alias("rewritten"))
-
-
 def _rule_rows(spark, sf):
     docs = derived.documents(spark, sf)
     return _lines_of(docs, apply_rules(F.col("text"), F.lit("any"), RULES))
@@ -109,7 +103,6 @@ QUERIES = {
     "match_groups": _match_rows,
     "first_k_per_group": lambda spark, sf: lines.first_k(derived.calls(spark, sf).select("category", "event_id", "timestamp"), ["category"], ["timestamp", "event_id"], 5),
     "byte_accounting": _totals_by_strategy,
-    "classify_command": _classified,
 }
 
 _CALLS = f"with calls as ({derived.CALLS_SQL}), "
@@ -167,7 +160,6 @@ ORACLE_SQL = {
     "match_groups": """with l as (select conv_id, turn, role as file, replace(text, chr(10), ' ') as rest from conversations)
       select conv_id, file, count(*) as n, arg_min(rest, turn)[:200] as first_match from l group by conv_id, file""",
     "first_k_per_group": f"{_CALLS} r as (select category, event_id, timestamp, cast(row_number() over (partition by category order by timestamp, event_id) as int) as rank, count(*) over (partition by category) as n_group from calls) select * from r where rank <= 5",
-    "classify_command": f"{_CALLS} t as (select * from calls where command_text <> '') select event_id, case when contains(command_text, '#') then null else 'tally ' || command_text end as rewritten from t",
     "rule_keep_strip": r"""with d as (select doc_id, string_split(text, chr(10)) as a from documents where text is not null),
       f as (select doc_id, list_transform(list_filter(a, lambda x: not regexp_matches(x, '^\s*The\b') and regexp_matches(x, 'e[rn]')), lambda x: regexp_replace(x, '([\p{L}\p{M}\p{Nd}\p{Pc}]+) of ([\p{L}\p{M}\p{Nd}\p{Pc}]+)', '\2<\1>', 'g')) as a from d),
       t as (select doc_id, a[1:6] as a from f),
@@ -191,5 +183,5 @@ ORACLE_SQL = {
       select strategy, count(*) as n, cast(sum(before) as bigint) as before, cast(sum(after) as bigint) as after from x group by strategy""",
 }
 
-QUERIES |= reports.QUERIES
-ORACLE_SQL |= reports.ORACLE_SQL
+QUERIES |= reports.QUERIES | routing.QUERIES
+ORACLE_SQL |= reports.ORACLE_SQL | routing.ORACLE_SQL

@@ -51,7 +51,10 @@ def newest(records: DataFrame, keep: int = KEPT_RAW) -> DataFrame:
 
 
 def expired(records: DataFrame, keep: int = KEPT_RAW, by: list[str] | None = None) -> DataFrame:
-    """Records beyond the newest, for each of `by`."""
-    rank = Window.partitionBy(*(by or ["one"])).orderBy(F.desc("time"), F.desc("name"))
-    rows = records if by else records.withColumn("one", F.lit(1))
-    return rows.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") > keep).drop("rank", "one")
+    """Records beyond the newest, for each of `by`. Without it, the oldest of the newest is found by a top-k, and older ones are filtered: nothing is sorted in one task."""
+    age = F.struct("time", "name")
+    if by:
+        rank = Window.partitionBy(*by).orderBy(F.desc("time"), F.desc("name"))
+        return records.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") > keep).drop("rank")
+    edge = newest(records, keep).agg(F.min(age).alias("edge"), F.count(F.lit(1)).alias("n_newest")).where(F.col("n_newest") == keep)
+    return records.join(F.broadcast(edge), age < F.col("edge")).drop("edge", "n_newest")

@@ -149,3 +149,35 @@ def test_routing(spark):
     entries = accounting.ledger_rows(accounting.account(route.compact(df)), F.lit(T1))
     assert entries.schema.simpleString() == schema.CALLS.simpleString() and entries.count() == 17
     assert route.compact(df, bypass=["git"]).where("tool = 'git' and strategy <> 'passthrough'").count() == 0
+
+
+def test_failed_commands_are_shown_and_not_recorded(spark):
+    data = [
+        (1, "git", ["push"], "out", "err", 1), (2, "git", ["diff"], "out", "err", 128), (3, "grep", ["x"], "out", "err", 2), (4, "find", ["."], "out", "err", 1),
+        (5, "read", ["a.py", "--level", "minimal"], "out", "err", 1), (6, "smart", ["a.py"], "out", "err", 1), (7, "smart", ["a.java"], "out", "", 0), (8, "git", ["status", "-s"], "out", "", 1),
+    ]
+    df = spark.createDataFrame(data, schema.CAPTURES)
+    got = {r.capture_id: r for r in route.compact(df).collect()}
+    assert {k: r.recorded for k, r in got.items()} == {k: k == 8 for k in range(1, 9)}
+    assert {k: r.output for k, r in got.items()} == {1: "", 2: "", 3: "out", 4: "", 5: "", 6: "", 7: "unknown language", 8: "out"}
+    assert sum(r.passthrough for r in got.values()) == 1
+    assert rows(accounting.ledger_rows(accounting.account(route.compact(df)), F.lit(T1)).select("command_text")) == [("git status -s",)]
+
+
+def test_modes_of_compaction(spark):
+    data = [(1, "git", ["status"], "?? a\n M b\n?? c\n", "", 0), (2, "go", ["test"], "--- FAIL: TestA (0.0s)\n    x\nok\n", "", 1), (3, "go", ["test"], "ok\n", "", 0)]
+    got = {r.capture_id: r.output for r in route.compact(spark.createDataFrame(data, schema.CAPTURES), ultra=True, failures_only=True).collect()}
+    assert got == {1: got[1], 2: "--- FAIL: TestA (0.0s)\n    x", 3: ""}
+    assert "??:2 a c" in got[1] and "M:1 b" in got[1]
+
+
+def test_first_k_keeps_groups_of_null_keys(spark):
+    df = spark.createDataFrame([("a", 1), ("a", 2), (None, 3), (None, 4), (None, 5)], "k string, v int")
+    assert rows(lines.first_k(df, ["k"], ["v"], 2).orderBy("v")) == [("a", 1, 1, 2), ("a", 2, 2, 2), (None, 3, 1, 3), (None, 4, 2, 3)]
+
+
+def test_blank_commands_are_not_rewritten(spark):
+    from tallyloom.functions import classify
+
+    df = spark.createDataFrame([(" ",), ("",), (None,), ("ls",)], "c string")
+    assert rows(df.select(classify.rewrite(F.col("c")))) == [(None,), (None,), (None,), (classify.PREFIX + "ls",)]
