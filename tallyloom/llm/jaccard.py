@@ -12,113 +12,123 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
-from math import ceil, exp, floor, log2, sqrt
+from math import ceil, floor, log2
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import save, table, text_or_empty, workspace
+from tallyloom.llm.common import arrow_rows, drop, save, slices, table, text_or_empty, workspace
 from tallyloom.llm.components import components, one_round
+from tallyloom.llm.rolling import folded_words, mix
 
 #: Width of a size band, in steps of 1 / similarity.
 BAND_STEPS = 3
 #: The bitmap of shared signatures has at most 2 ** MAX_BITS bits (16 MB).
 MAX_BITS = 27
-REMEMBERED = 300_000
 SALTS = 16
 #: Comparisons with one leader that stay in one share.
 SHARE = 2_000
+#: Elements of the sets of one block of the last step; their sketches take at most a byte each.
+BLOCK = 1 << 20
+#: Rank limit of a set all of whose signatures count.
+ALL = 1 << 30
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 
 
-def mix(x: np.ndarray) -> np.ndarray:
-    """A bijection of 64-bit words that spreads every bit."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-class WordHashes(dict):
-    """Eight bytes a word; joined, they are an array without a detour over numbers."""
-
-    def __missing__(self, word: bytes) -> bytes:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_digest(word)
-        return value
-
-
-_words = WordHashes()
-
-
-def shingles(text: bytes, size: int) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of a text's shingles."""
-    words = text.lower().split()  # bytes: A-Z and ASCII white space only
-    if not words:
-        return np.zeros(0, np.uint64)
-    hashes = np.frombuffer(b"".join([_words[w] for w in words]), np.uint64)
-    size = min(size, len(words))
-    total = np.full(len(words) - size + 1, size, np.uint64)
+def shingle_sets(texts: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct 64-bit hashes of each text's shingles, end to end, and where each text's begin."""
+    data = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
+    begins, words = folded_words(data)
+    first = np.searchsorted(begins, np.cumsum([0] + [len(t) + 1 for t in texts]))
+    n_words = np.diff(first)
+    count = np.where(n_words >= size, n_words - size + 1, np.minimum(n_words, 1))
+    bounds = np.concatenate([[0], np.cumsum(count)])
+    out = np.empty(bounds[-1], np.uint64)
+    factor = lambda k: ODD[k % 8] + np.uint64(2 * (k // 8))
+    whole = np.ones(len(words), bool)
+    for k in range(1, size):
+        whole[(first[1:] - k)[n_words >= k]] = False
+    joint = np.full(max(0, len(words) - size + 1), size, np.uint64)
     for k in range(size):
-        total += hashes[k : len(words) - size + 1 + k] * (ODD[k % 8] + np.uint64(2 * (k // 8)))
-    return np.unique(mix(total))
+        joint += words[k : k + len(joint)] * factor(k)
+    few = (n_words > 0) & (n_words < size)
+    full = np.ones(len(out), bool)
+    full[bounds[:-1][few]] = False
+    out[full] = joint[whole[: len(joint)]]
+    for d in np.flatnonzero(few).tolist():
+        n = int(n_words[d])
+        out[bounds[d]] = np.uint64(n) + np.sum(words[first[d] : first[d] + n] * np.array([factor(k) for k in range(n)]), dtype=np.uint64)
+    out = mix(out)
+    at = bounds.tolist()
+    for a, b in zip(at, at[1:], strict=False):
+        if b - a > 1:
+            out[a:b].sort()
+    new = np.ones(len(out), bool)
+    new[1:] = out[1:] != out[:-1]
+    new[bounds[:-1][count > 0]] = True
+    return out[new], np.concatenate([[0], np.cumsum(new)])[bounds]
 
 
 def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets are: 100 * intersection >= percent * union, in whole numbers."""
     if min(len(a), len(b)) * 100 < percent * max(len(a), len(b)) or not len(a):
         return False
-    both = np.concatenate([a, b])
-    both.sort()
-    shared = int((both[1:] == both[:-1]).sum())
+    a, b = (a, b) if len(a) >= len(b) else (b, a)
+    shared = int((a[np.minimum(np.searchsorted(a, b), len(a) - 1)] == b).sum())
     return 100 * shared >= percent * (len(a) + len(b) - shared)
 
 
-@lru_cache(maxsize=None)
-def bands(size: int, percent: int) -> list[tuple[int, int, int]]:
-    """(band, partitions, spare) of each band that holds sets of this size."""
+@lru_cache(maxsize=8)
+def bands(most: int, percent: int) -> list[tuple[int, int, int]]:
+    """(least size, greatest size, partitions) of the bands up to a size. Half as many partitions as may differ are added."""
     t = percent / 100
-    out, band, low = [], 0, 1.0
-    while low <= size:
-        high = low / t**BAND_STEPS
-        if size <= high:
-            k = (100 - percent) * 2 * floor(high + 1e-9) // (100 + percent)
-            spare = 0
-            for _ in range(4):  # the spare partitions cover the empty ones that chance makes
-                n = k + 1 + spare
-                empty = n * exp(-low / n) if n > 1 else 0.0
-                spare = ceil(empty + 3 * sqrt(empty)) if k and empty > 0.02 else 0
-            out.append((band, k + 1 + spare, spare))
-        band, low = band + 1, low / t ** (BAND_STEPS - 1)
+    out, low = [], 1.0
+    while low <= most * (1 + 1e-9):
+        high = floor(low / t**BAND_STEPS * (1 + 1e-9))
+        differ = 2 * high * (100 - percent) // (100 + percent)
+        out.append((ceil(low * (1 - 1e-9)), high, differ + 1 + ceil(differ / 2)))
+        low /= t ** (BAND_STEPS - 1)
     return out
 
 
-def signatures(elements: np.ndarray, percent: int) -> np.ndarray:
-    """Signatures of a set of sorted hashes: at most its partitions that hold something and a prefix, whatever the set."""
-    out = []
-    for band, n, spare in bands(len(elements), percent):
-        part = (elements % np.uint64(n)).astype(np.int64)
-        total = np.zeros(n, np.uint64)
-        np.add.at(total, part, mix(elements ^ ODD[1]))
-        held = np.bincount(part, minlength=n) > 0
-        tag = np.arange(n, dtype=np.uint64) + np.uint64(band << 32)
-        tags = mix(tag * ODD[2] + np.uint64(1))
-        out.append(mix(total[held] ^ tags[held]))
-        if n - held.sum() > spare and held.sum() <= (100 - percent) * len(elements) // percent:
-            out.append(mix(elements[: len(elements) * (100 - percent) // 100 + 1] ^ ODD[3]))
-    return np.unique(np.concatenate(out)) if out else np.zeros(0, np.uint64)
+def signatures(elements: np.ndarray, bounds: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of many sorted sets laid end to end: signature, set number, band, and how many of a set's signatures in that band count, the rarest first."""
+    sizes = np.diff(bounds)
+    out: list[tuple[np.ndarray, ...]] = []
+    for band, (low, high, n) in enumerate(bands(int(sizes.max(initial=0)), percent)):
+        own = np.flatnonzero((sizes >= low) & (sizes <= high))
+        if not len(own):
+            continue
+        count = sizes[own]
+        row = np.repeat(np.arange(len(own)), count)
+        values = elements[np.repeat(bounds[own] - np.cumsum(count) + count, count) + np.arange(count.sum())]
+        spot = row * n + (values % np.uint64(n)).astype(np.int64)
+        total = np.zeros(len(own) * n, np.uint64)
+        np.add.at(total, spot, mix(values ^ ODD[1]))
+        held = np.zeros(len(own) * n, bool)
+        held[spot] = True
+        held_of = held.reshape(-1, n).sum(axis=1)
+        tags = mix((np.arange(n, dtype=np.uint64) + np.uint64((band + 1) << 32)) * ODD[2])
+        differ = (count + np.minimum(count * 100 // percent, high)) * (100 - percent) // (100 + percent)
+        empty = held_of <= differ
+        need = np.where(empty, ALL, differ + 1)
+        at = np.flatnonzero(held)
+        out.append((mix(total[at] ^ tags[at % n]), own[at // n], np.full(len(at), band), need[at // n]))
+        if empty.any():
+            prefix = count * (100 - percent) // 100 + 1
+            among = empty[row] & (np.arange(len(row)) - (np.cumsum(count) - count)[row] < prefix[row])
+            out.append((mix(values[among] ^ ODD[3] ^ tags[0]), own[row[among]], np.full(int(among.sum()), band), need[row[among]]))
+    if not out:
+        return np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(3))
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
 
 def digest_of(elements: np.ndarray) -> bytes:
     return hashlib.blake2b(elements.tobytes(), digest_size=16).digest()
 
 
-def key_of(digest: bytes) -> int:
-    return int.from_bytes(digest[:8], "little", signed=True)
-
-
 class Bitmap:
     """Bits that are set for every value of a column of hashed longs; at most 2 ** MAX_BITS of them."""
 
@@ -142,79 +152,178 @@ class Bitmap:
         return (self.packed[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 > 0
 
 
+def _sets(batches: Iterator[pa.RecordBatch], column: int, size: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, list[bytes]]]:
+    for batch in slices(batches, column):
+        elements, bounds = shingle_sets(batch.column(column).to_pylist(), size)
+        yield batch, elements, bounds, [digest_of(elements[a:b]) for a, b in zip(bounds, bounds[1:], strict=False)]
+
+
 def _sketches(rows: DataFrame, size: int) -> DataFrame:
     kind = rows.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [shingles(t, size) for t in batch.column(1).to_pylist()]
-            digests = [digest_of(s) for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array([key_of(d) for d in digests], pa.int64())], ["id", "n", "digest", "key"])
+        for batch, _, bounds, digests in _sets(batches, 1, size):
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(bounds), pa.int64()), pa.array(digests, pa.binary())], ["id", "n", "digest"])
 
-    return rows.mapInArrow(run, f"id {kind}, n bigint, digest binary, key bigint")
+    return rows.mapInArrow(run, f"id {kind}, n bigint, digest binary")
 
 
-def _signature_rows(rows: DataFrame, size: int, percent: int, shared=None) -> DataFrame:
-    """(sig, key, n) of every signature; with a broadcast bitmap only of those that it holds."""
+def _ends(texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """(sig, low, high, n): the signatures of a slice of texts, with the ends of the short keys of the sets that have it, and how many have."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sigs, keys, sizes = [], [], []
-            for t in batch.column(1).to_pylist():
-                elements = shingles(t, size)
-                s = signatures(elements, percent)
-                if shared is not None:
-                    s = s[shared.value.has(s)]
-                if len(s):
-                    sigs.append(s)
-                    keys.append(np.full(len(s), key_of(digest_of(elements)), np.int64))
-                    sizes.append(np.full(len(s), len(elements), np.int64))
-            if sigs:
-                cols = [np.concatenate(sigs).view(np.int64), np.concatenate(keys)] + ([np.concatenate(sizes)] if shared is not None else [])
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["sig", "key", "n"][: len(cols)])
-
-    return rows.mapInArrow(run, "sig bigint, key bigint" + (", n bigint" if shared is not None else ""))
-
-
-def _texts(rows: DataFrame, wanted: DataFrame, root: str, label: str) -> DataFrame:
-    """(key, id, text) of wanted (key, id). A bitmap of bounded size keeps most other texts out of the shuffle."""
-    hashed = rows.withColumn("h", F.xxhash64("id"))
-    cast = rows.sparkSession.sparkContext.broadcast(Bitmap.of(wanted.select(F.xxhash64("id").alias("h"))))
+        for _, elements, bounds, digests in _sets(batches, 0, size):
+            distinct, first = np.unique(np.array(digests), return_index=True)
+            sigs, number, _, _ = signatures(elements, bounds, percent)
+            keys = np.frombuffer(b"".join(d[:8] for d in digests), "<i8")
+            once = np.isin(number, first)
+            yield pa.RecordBatch.from_arrays([pa.array(sigs[once].view(np.int64)), pa.array(keys[number[once]])], ["sig", "key"])
+
+    return texts.mapInArrow(run, "sig bigint, key bigint").groupBy("sig").agg(F.min("key").alias("low"), F.max("key").alias("high"), F.count(F.lit(1)).alias("often"))
+
+
+def _counting(texts: DataFrame, size: int, percent: int, shared) -> DataFrame:
+    """(sig, digest, n, band, need) of signatures in the bitmap, of the sets whose rarest ones aren't all known to be theirs alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for _, elements, bounds, digests in _sets(batches, 0, size):
+            sigs, number, band, need = signatures(elements, bounds, percent)
+            hit = shared.value.has(sigs)
+            group = number * 256 + band
+            names, back = np.unique(group, return_inverse=True)
+            need = need - np.bincount(back, ~hit, len(names)).astype(np.int64)[back]
+            take = np.flatnonzero(hit & (need > 0))
+            names = np.array(digests, object)[number[take]].tolist()
+            yield pa.RecordBatch.from_arrays([pa.array(sigs[take].view(np.int64)), pa.array(names, pa.binary()), pa.array(np.diff(bounds)[number[take]]), pa.array(band[take], pa.int32()), pa.array(need[take])], ["sig", "digest", "n", "band", "need"])
+
+    return texts.mapInArrow(run, "sig bigint, digest binary, n bigint, band int, need bigint").distinct()
+
+
+def _sets_of(rows: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+    """(no, digest, id, n, elements, sketch) of wanted (digest, id, n). A bitmap of bounded size keeps most other texts from being looked at."""
+    cast = rows.sparkSession.sparkContext.broadcast(Bitmap.of(wanted.select(F.xxhash64("id").alias("h"))))
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 1):
             yield batch.filter(pa.array(cast.value.has(batch.column(2).to_numpy())))
 
-    found = hashed.mapInArrow(run, hashed.schema).drop("h")
-    return save(found.join(wanted, "id").select("key", "id", "text"), f"{root}/{label}")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, elements, bounds, digests in _sets(pick(batches), 1, size):
+            sets = [elements[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
+            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary()), pa.array([parity(x) if len(x) else b"" for x in sets], pa.binary())], ["own", "elements", "sketch"])
 
+    found = rows.withColumn("h", F.xxhash64("id")).mapInArrow(run, "own binary, elements binary, sketch binary")
+    return found.join(wanted, F.col("own") == F.col("digest")).drop("own").dropDuplicates(["digest"]).withColumn("no", F.monotonically_increasing_id())
 
-def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """Of pairs (a, b) of keys, the links (u, v) of ids. The comparisons with a much wanted text are dealt over shares, each with a copy of it."""
-    many = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / SHARE).cast("int").alias("shares"))
-    left = texts.join(many, texts.key == many.a).select("a", F.col("id").alias("u"), F.col("text").alias("text_u"), F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"))
-    dealt = pairs.join(many, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("shares")).cast("int").alias("share"))
-    right = dealt.join(texts, dealt.b == texts.key).select("a", "b", "share", F.col("id").alias("v"), F.col("text").alias("text_v"))
-    both = right.join(left, ["a", "share"]).select("a", "b", "u", "v", "text_u", "text_v")
-    kind = texts.schema["id"].dataType.simpleString()
+
+def _reach(sets: DataFrame, percent: int) -> DataFrame:
+    """(no, reach): the greatest size that a set similar to this one can have, as the elements that no other of these sets holds are in no intersection."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 1):
+            raw = batch.column(1).to_pylist()
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(raw), "<i8")), pa.array(np.repeat(batch.column(0).to_numpy(), [len(r) // 8 for r in raw]))], ["element", "no"])
+
+    held = sets.select("no", "elements").mapInArrow(run, "element bigint, no bigint")
+    alone = held.groupBy("element").agg(F.count(F.lit(1)).alias("often"), F.min("no").alias("no")).where("often = 1").groupBy(F.col("no").alias("owner")).agg(F.count(F.lit(1)).alias("alone"))
+    joined = sets.select("no", "n").join(alone, F.col("no") == F.col("owner"), "left")
+    return joined.select("no", (F.expr(f"(n - coalesce(alone, 0)) * {100 + percent} div {percent}") - F.col("n")).alias("reach"))
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Of pairs (a, b) of set numbers with ids u and v, the links (u, v). A much wanted leader's comparisons are dealt over shares; in each its set comes first and the others stream by."""
+    kind = pairs.schema["u"].dataType.simpleString()
+    many = pairs.groupBy("a", "u").agg(F.ceil(F.count(F.lit(1)) / SHARE).cast("int").alias("shares"))
+    spread = many.select("a", "u", "shares", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"))
+    leaders = spread.join(sets.select("no", "elements"), F.col("a") == F.col("no")).select("a", "share", F.lit(False).alias("other"), F.col("u").alias("id"), "elements")
+    dealt = pairs.join(many.select("a", "shares"), "a").select("a", F.pmod(F.xxhash64("b"), F.col("shares")).cast("int").alias("share"), "b", "v")
+    others = dealt.join(sets.select("no", "elements"), F.col("b") == F.col("no")).select("a", "share", F.lit(True).alias("other"), F.col("v").alias("id"), "elements")
+    both = leaders.unionByName(others).repartition("a", "share").sortWithinPartitions("a", "share", "other")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple = (None, None, None)
-        for batch in batches:
-            take = []
-            a, b, _, _, text_u, text_v = (c.to_pylist() for c in batch.columns)
-            for k in range(batch.num_rows):
-                if last[0] != text_u[k]:
-                    s = shingles(text_u[k], size)
-                    last = (text_u[k], s, key_of(digest_of(s)))
-                other = shingles(text_v[k], size)
-                if last[2] == a[k] and key_of(digest_of(other)) == b[k] and similar(last[1], other, percent):
-                    take.append(k)
-            yield batch.take(pa.array(take, pa.int64())).select(["u", "v"])
+        leader, u = np.zeros(0, np.uint64), None
+        for batch in slices(batches, 4):
+            found: dict = {"u": [], "v": []}
+            for other, id_, raw in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4)), strict=True):
+                own = np.frombuffer(raw, np.uint64)
+                if not other:
+                    leader, u = own, id_
+                elif similar(leader, own, percent):
+                    found["u"].append(u)
+                    found["v"].append(id_)
+            t = batch.schema.field(3).type
+            yield arrow_rows(found, pa.schema([("u", t), ("v", t)]))
 
     return both.mapInArrow(run, f"u {kind}, v {kind}")
 
 
+def parity(elements: np.ndarray) -> bytes:
+    """A sketch of at least four bits an element, each the parity of the elements that fall on it. Two sketches differ in no more bits than the sets do in elements."""
+    size = 1 << max(6, ceil(log2(4 * len(elements))))
+    odd = np.bincount((elements & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def folded(sketches: list[bytes]) -> np.ndarray:
+    """Sketches of several lengths, all brought down to the shortest one's, as rows of 64-bit words."""
+    words = min(map(len, sketches)) // 8
+    return np.stack([np.bitwise_xor.reduce(np.frombuffer(x, np.uint64).reshape(-1, words), axis=0) for x in sketches])
+
+
+def pairs_within(sketches: list[bytes], n: np.ndarray, reach: np.ndarray, component: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Pairs (r, s) of a left and a right set of different components, all similar ones among them: sets whose sketches differ in more bits than similar sets may in elements aren't."""
+    rows = folded(sketches)
+    out = []
+    for r in np.flatnonzero(left).tolist():
+        fit = np.flatnonzero(right & (n <= reach[r]) & (n[r] <= reach) & (component != component[r]))
+        if len(fit):
+            differ = np.bitwise_count(rows[fit] ^ rows[r]).sum(axis=1, dtype=np.int64)
+            out += [(r, s) for s in fit[differ * (100 + percent) <= (100 - percent) * (n[r] + n[fit])].tolist()]
+    return out
+
+
+def _viable(rows: DataFrame) -> DataFrame:
+    """Of the rows of each signature those that may be similar to one of another component: of the sets of other components the greatest reach and the smallest size allow it."""
+    parts = rows.groupBy("sig", "component").agg(F.min("n").alias("least"), F.max("reach").alias("far"))
+    ends = parts.groupBy("sig").agg(F.max(F.struct("far", "component")).alias("top"), F.min(F.struct("least", "component")).alias("low"))
+    both = parts.join(ends, "sig").groupBy("sig").agg(F.first("top").alias("top"), F.first("low").alias("low"), F.max(F.when(F.col("component") != F.col("top.component"), F.col("far"))).alias("far2"), F.min(F.when(F.col("component") != F.col("low.component"), F.col("least"))).alias("least2"))
+    far = F.when(F.col("component") == F.col("top.component"), F.col("far2")).otherwise(F.col("top.far"))
+    least = F.when(F.col("component") == F.col("low.component"), F.col("least2")).otherwise(F.col("low.least"))
+    return rows.join(both, "sig").where((far >= F.col("n")) & (least <= F.col("reach"))).select(*rows.columns)
+
+
+def _in_blocks(rows: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of set numbers, with ids u and v, among the rows of each signature that are of different components and that their sketches don't set apart. A signature's sets are dealt into blocks of bounded size, and the sketches of each two blocks meet in a task: rows grow with sets and blocks, not with pairs."""
+    kind = rows.schema["id"].dataType.simpleString()
+    blocks = rows.groupBy("sig").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("no"), F.col("blocks")).cast("int").alias("own")
+    dealt = rows.join(blocks, "sig").select("sig", "no", "id", "n", "reach", "component", own, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("met"))
+    tiles = dealt.select("sig", F.least("own", "met").alias("i"), F.greatest("own", "met").alias("j"), "own", "no", "id", "n", "reach", "component")
+    both = tiles.join(sketches, "no").repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
+
+        def found() -> pa.RecordBatch:
+            own, no, ids, n, reach, component, sketch = zip(*held, strict=True)
+            own, groups = np.array(own), {c: k for k, c in enumerate(dict.fromkeys(component))}
+            pairs = pairs_within(list(sketch), np.array(n), np.array(reach), np.array([groups[c] for c in component]), own == key[1], own == key[2], percent) if len(groups) > 1 else []
+            return arrow_rows({"a": [no[r] for r, _ in pairs], "b": [no[s] for _, s in pairs], "u": [ids[r] for r, _ in pairs], "v": [ids[s] for _, s in pairs]}, pa.schema([("a", pa.int64()), ("b", pa.int64()), ("u", of), ("v", of)]))
+
+        for batch in slices(batches, 9):
+            of = batch.schema.field(5).type
+            for sig, i, j, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if key != (sig, i, j):
+                    if held:
+                        yield found()
+                    key, held = (sig, i, j), []
+                held.append(row)
+        if held:
+            yield found()
+
+    return both.select("sig", "i", "j", "own", "no", "id", "n", "reach", "component", "sketch").mapInArrow(run, f"a bigint, b bigint, u {kind}, v {kind}")
+
+
 def _repeated_ids(members: DataFrame, classes: DataFrame, path: str) -> DataFrame | None:
     """Links between the classes of rows that repeat an id; None without such rows."""
     own = members.where("n > 0 and id is not null").select("id", "digest").distinct()
@@ -224,12 +333,12 @@ def _repeated_ids(members: DataFrame, classes: DataFrame, path: str) -> DataFram
     return None if links.isEmpty() else links
 
 
-def _labels(classes: DataFrame, edges: DataFrame | None) -> DataFrame:
-    """The smallest id that each key's class is tied to directly."""
+def _labelled(rows: DataFrame, edges: DataFrame | None) -> DataFrame:
+    """rows with the smallest id that each row's id is tied to directly, as component."""
     if edges is None:
-        return classes.groupBy("key").agg(F.min("id").alias("component"))
-    least = edges.groupBy("u").agg(F.min("v").alias("v"))
-    return classes.join(least, classes.id == least.u, "left").groupBy("key").agg(F.min(F.coalesce("v", "id")).alias("component"))
+        return rows.withColumn("component", F.col("id"))
+    least = edges.groupBy(F.col("u").alias("tied")).agg(F.min("v").alias("least"))
+    return rows.join(least, rows.id == least.tied, "left").withColumn("component", F.coalesce("least", "id")).drop("tied", "least")
 
 
 def similar_groups(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -239,44 +348,53 @@ def similar_groups(docs: DataFrame, size: int = 5, percent: int = 80, id_col: st
     rows = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).cast("binary").alias("text"))
     known = rows.where(F.col("id").isNotNull())
     members = save(_sketches(rows, size), f"{root}/members")
-    classes = members.where("n > 0 and id is not null").groupBy("digest").agg(F.min("id").alias("id"), F.first("key").alias("key"), F.count(F.lit(1)).alias("rows"))
+    classes = members.where("n > 0 and id is not null").groupBy("digest").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("rows"))
     classes = save(classes, f"{root}/classes")
 
-    ends = _signature_rows(known, size, percent).groupBy("sig").agg(F.min("key").alias("low"), F.max("key").alias("high"))
-    multiple = save(ends.where("low <> high").select("sig"), f"{root}/shared")
-    bitmap = spark.sparkContext.broadcast(Bitmap.of(multiple))
-    shared = _signature_rows(known, size, percent, bitmap).distinct().join(multiple, "sig", "left_semi")
-    shared = save(shared, f"{root}/rows")
+    shared = save(_ends(known.select("text"), size, percent).where("low <> high").select("sig", "often"), f"{root}/shared")
+    bitmap = spark.sparkContext.broadcast(Bitmap.of(shared.select("sig")))
+    counting = _counting(known.select("text"), size, percent, bitmap).join(shared, "sig", "left")
+    rank = F.row_number().over(Window.partitionBy("digest", "band").orderBy(F.coalesce("often", F.lit(0)), "sig"))
+    counting = counting.withColumn("rank", rank).where("rank <= need and often is not null").select("sig", "digest", "n", "band")
+    counting = save(counting, f"{root}/counting")
+    drop(spark, f"{root}/shared")
+    several = counting.groupBy("sig").agg(F.min("digest").alias("low"), F.max("digest").alias("high")).where("low <> high").select("sig")
+    several = save(counting.join(several, "sig", "left_semi").select("sig", "digest"), f"{root}/several")
+    drop(spark, f"{root}/counting")
+    wanted = several.select("digest").distinct().join(classes.join(members.select("digest", "n").distinct(), "digest").select("digest", "id", "n"), "digest")
+    sets = save(_sets_of(known, wanted, size), f"{root}/sets")
+    reach = save(_reach(sets, percent), f"{root}/reach")
+    nodes = sets.select("no", "digest", "id", "n").join(reach, "no")
+    reached = several.join(nodes, "digest").drop("digest")
+    least = reached.groupBy("sig").agg(F.min("n").alias("least"))
+    reached = save(reached.join(least, "sig").where("reach >= least").drop("least"), f"{root}/reached")
+    drop(spark, f"{root}/several")
+    # similar sets share many signatures: of those that the same sets have, one is enough
+    mark = [F.bit_xor(F.xxhash64("no", F.lit(k))).alias(f"mark{k}") for k in range(2)]
+    first = reached.groupBy("sig").agg(F.count(F.lit(1)).alias("sets"), *mark).where("sets > 1").groupBy("sets", "mark0", "mark1").agg(F.min("sig").alias("sig"))
+    open_rows = save(reached.join(first.select("sig"), "sig", "left_semi"), f"{root}/open")
+    drop(spark, f"{root}/reached")
 
     # edges are compressed to shallow trees after each step; labels read from them join what is known to be connected
     edges = _repeated_ids(members, classes, f"{root}/repeated")
-    labels = _labels(classes, edges)
-    done: DataFrame | None = None
-    fits = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
-    for step in ("first", "second", "rest"):
-        marked = shared.join(labels, "key")
-        mixed = marked.groupBy("sig").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), (F.min if step == "first" else F.max)(F.struct("key", "n", "component")).alias("head")).where("c0 <> c1")
-        if step == "rest":
-            open_rows = marked.join(mixed.select("sig"), "sig", "left_semi")
-            left = open_rows.select("sig", F.col("key").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("c_a"))
-            right = open_rows.select("sig", F.col("key").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("c_b"))
-            found = left.join(right, "sig").where(F.col("c_a") < F.col("c_b")).where(fits)
+    side = lambda row, end: [row(c).alias(f"{c}_{end}") for c in ("no", "id", "n", "reach", "component")]
+    for step in ("first", "second", "blocks"):
+        marked = _labelled(open_rows, edges)
+        head = F.struct("id", "no", "n", "reach", "component")
+        mixed = marked.groupBy("sig").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), (F.min if step == "first" else F.max)(head).alias("head")).where("c0 <> c1")
+        if step == "blocks":
+            apart = marked.join(mixed.select("sig"), "sig", "left_semi")
+            for k in range(2):  # rows that go may have been another row's only hope
+                apart = save(_viable(apart), f"{root}/apart{k}")
+            pairs = _in_blocks(apart, sets.select("no", "sketch"), percent)
         else:
-            found = marked.join(mixed.select("sig", "head"), "sig").select(F.col("head.key").alias("a"), F.col("head.n").alias("n_a"), F.col("head.component").alias("c_a"), F.col("key").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("c_b"))
-            found = found.where(F.col("c_a") != F.col("c_b")).where(fits)
-        pairs = found.select("a", "b").distinct()
-        if done is not None:
-            both = done.select("a", "b").unionByName(done.select(F.col("b").alias("a"), F.col("a").alias("b")))
-            pairs = pairs.join(both, ["a", "b"], "left_anti")
-        pairs = save(pairs, f"{root}/pairs-{step}")
-        if pairs.isEmpty():
-            continue
-        ends = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-        texts = _texts(known, save(ends.join(classes.select("key", "id"), "key"), f"{root}/wanted-{step}"), root, f"texts-{step}")
-        new = save(_verified(pairs, texts, size, percent), f"{root}/links-{step}")
-        edges = save(one_round(new if edges is None else edges.unionByName(new)), f"{root}/edges-{step}")
-        labels = _labels(classes, edges)
-        done = pairs if done is None else done.unionByName(pairs)
+            found = marked.join(mixed.select("sig", "head"), "sig").select(*side(lambda c: F.col(f"head.{c}"), "a"), *side(F.col, "b"))
+            fits = (F.col("n_b") <= F.col("reach_a")) & (F.col("n_a") <= F.col("reach_b")) & (F.col("component_a") != F.col("component_b"))
+            pairs = found.where(fits).select(F.col("no_a").alias("a"), F.col("no_b").alias("b"), F.col("id_a").alias("u"), F.col("id_b").alias("v"))
+        new = _verified(save(pairs.distinct(), f"{root}/pairs-{step}"), sets, percent)
+        new = save(new, f"{root}/links-{step}")
+        if not new.isEmpty():
+            edges = save(one_round(new if edges is None else edges.unionByName(new)), f"{root}/edges-{step}")
 
     parts = None if edges is None else components(edges, f"{root}/parts")
     if parts is None:
@@ -284,7 +402,7 @@ def similar_groups(docs: DataFrame, size: int = 5, percent: int = 80, id_col: st
     else:
         grouped = classes.join(parts, classes.id == parts.node, "left").where("rows > 1 or component is not null").select("digest", F.coalesce("component", "id").alias("component"))
     grouped = grouped.select("digest", "component", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    salted = members.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
+    salted = members.select("id", "n", "digest").withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
     return salted.join(grouped, ["digest", "salt"], "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id"))
 
 
