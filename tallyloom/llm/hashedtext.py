@@ -14,8 +14,9 @@ from tallyloom.llm.common import text_or_empty
 
 BITS = 18
 SIZE = 1 << BITS
-#: Distinct words whose weights a worker remembers before it starts again.
-REMEMBERED = 400_000
+CHUNK = 1 << 20
+#: Words whose weights a worker remembers since it last set its memory aside (some 15 MB; as much is set aside).
+REMEMBERED = 80_000
 
 
 def slot(token: bytes) -> int:
@@ -23,21 +24,29 @@ def slot(token: bytes) -> int:
 
 
 class Sparse:
-    """Rows of (slots, values) laid end to end."""
+    """Rows of (slots, values) laid end to end; sums go over some CHUNK entries at a time, so they need little beside the rows."""
 
     def __init__(self, rows: list[tuple[np.ndarray, np.ndarray]]):
-        self.sizes = np.array([len(i) for i, _ in rows], np.int64)
-        self.slots = np.concatenate([i for i, _ in rows] or [np.zeros(0, np.int32)]).astype(np.int64)
-        self.values = np.concatenate([v for _, v in rows] or [np.zeros(0)]).astype(np.float64)
-        self.row = np.repeat(np.arange(len(rows)), self.sizes)
         self.n = len(rows)
+        self.slots = np.concatenate([i for i, _ in rows] or [np.zeros(0)]).astype(np.int32)
+        self.values = np.concatenate([v for _, v in rows] or [np.zeros(0)]).astype(np.float32)
+        self.row = np.repeat(np.arange(self.n, dtype=np.int32), [len(i) for i, _ in rows])
+        self.chunks = [slice(at, at + CHUNK) for at in range(0, len(self.slots), CHUNK)]
 
     def score(self, weights: np.ndarray) -> np.ndarray:
-        return np.bincount(self.row, self.values * weights[self.slots], self.n)
+        out = np.zeros(self.n)
+        for c in self.chunks:
+            first = int(self.row[c][0])
+            part = np.bincount(self.row[c] - first, self.values[c] * weights[self.slots[c]])
+            out[first : first + len(part)] += part
+        return out
 
     def pull(self, by_row: np.ndarray) -> np.ndarray:
         """Gradient by weight from the gradient by row."""
-        return np.bincount(self.slots, self.values * by_row[self.row], SIZE)
+        out = np.zeros(SIZE)
+        for c in self.chunks:
+            out += np.bincount(self.slots[c], self.values[c] * by_row[self.row[c]], SIZE)
+        return out
 
 
 class Adam:
@@ -52,16 +61,20 @@ class Adam:
 
 
 class WordWeights(dict):
-    """The summed weight of a word's features, worked out once a word."""
+    """The summed weight of a word's features, worked out once a word. Words that are still in use come back from the memory set aside."""
 
     def __init__(self, weights: np.ndarray, features: Callable[[bytes], list[bytes]]):
         super().__init__()
-        self.weights, self.features = weights, features
+        self.weights, self.features, self.aside = weights, features, {}
 
     def __missing__(self, word: bytes) -> float:
         if len(self) >= REMEMBERED:
+            self.aside = dict(self)
             self.clear()
-        value = self[word] = float(sum(self.weights[slot(f)] for f in self.features(word)))
+        value = self.aside.get(word)
+        if value is None:
+            value = float(sum(self.weights[slot(f)] for f in self.features(word)))
+        self[word] = value
         return value
 
 

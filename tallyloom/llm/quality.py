@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import arrow_rows, bound_batches, table, text_or_empty
+from tallyloom.llm.common import arrow_rows, bound_batches, slices, table, text_or_empty
 from tallyloom.llm.hashedtext import SIZE, Adam, Sparse, WordWeights, first_ids, sigmoid, slot, vectors
 
 MAX_RATED = 12_000
@@ -141,7 +141,7 @@ def score(docs: DataFrame, model: Ordinal, min_grade: int = 1, min_probability:
         held: list[pa.RecordBatch] = []
 
         def texts() -> Iterator[list[bytes]]:
-            for batch in batches:
+            for batch in slices(batches, 1):
                 held.append(batch)
                 yield batch.column(1).to_pylist()
 
@@ -161,7 +161,7 @@ def select_good(docs: DataFrame, model: Ordinal, min_grade: int = 1, min_probabi
         held: list[pa.RecordBatch] = []
 
         def texts() -> Iterator[list[bytes]]:
-            for batch in batches:
+            for batch in slices(batches, at):
                 held.append(batch)
                 yield [t.encode() if t else b"" for t in batch.column(at).to_pylist()]
 

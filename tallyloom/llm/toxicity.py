@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import arrow_rows, bound_batches, table, text_or_empty
+from tallyloom.llm.common import arrow_rows, bound_batches, slices, table, text_or_empty
 from tallyloom.llm.decontaminate import words
 from tallyloom.llm.hashedtext import SIZE, Adam, Sparse, WordWeights, first_ids, sigmoid, slot, vectors
 
@@ -94,7 +94,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float] | None, threshold: fl
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = cast.value
         weigh = WordWeights(known[0], lambda w: [w]) if known else None
-        for batch in batches:
+        for batch in slices(batches, 2):
             z = []
             for text in batch.column(2).to_pylist() if weigh is not None else ():
                 distinct = set(words(text))

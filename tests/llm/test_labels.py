@@ -1,3 +1,5 @@
+import math
+import re
 import zlib
 
 import numpy as np
@@ -91,3 +93,39 @@ def test_quality_odd_rows(spark):
     assert Q.score(docs.limit(0), model).count() == 0
     with pytest.raises(Exception):
         Q.fit(docs, none, grade_col="missing")
+
+
+def test_toxicity_query_equals_plain_python(spark):
+    sf = "/root/testdata/sf0.001"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    weights, bias = T.fit(docs, labels)
+    weights = weights.astype("f4")
+    got = {r.doc_id: r for r in T.op7_toxicity(spark, sf).collect()}
+    rows = docs.select("doc_id", "text").collect()
+    assert len(got) == len(rows)
+    for r in rows:
+        distinct = {w for w in re.findall(rb"[0-9A-Za-z\x80-\xff]+", (r.text or "").encode().lower())}
+        z = sum(float(weights[T.slot(w)]) for w in distinct) + bias
+        score = 1 / (1 + math.exp(-z))
+        assert abs(got[r.doc_id].score - score) < 1e-9 and got[r.doc_id].predicted == int(got[r.doc_id].score >= 0.3)
+        assert got[r.doc_id].held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2)
+
+
+def test_quality_query_equals_plain_python(spark):
+    sf = "/root/testdata/sf0.001"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    model = Q.fit(docs, labels)
+    weights = model.weights.astype("f4")
+    got = {r.doc_id: r for r in Q.op4_quality(spark, sf).collect()}
+    rows = docs.select("doc_id", "text").collect()
+    assert len(got) == len(rows)
+    for r in rows:
+        words = (r.text or "").encode().split()
+        place = Q.MARK * sum(float(weights[Q.slot(f)]) for f in Q.text_marks(words))
+        for w in words:
+            place += Q.SHARE * sum(float(weights[Q.slot(f)]) for f in Q.word_features(w)) / len(words)
+        tails = [1.0, *(1 / (1 + math.exp(t - place)) for t in model.thresholds), 0.0]
+        expected = sum(g * (a - b) for g, a, b in zip(model.grades, tails, tails[1:], strict=False))
+        assert abs(got[r.doc_id].expected_grade - expected) < 1e-6
+        assert abs(got[r.doc_id].tail_probability - tails[sum(g < 1 for g in model.grades)]) < 1e-6
+        assert got[r.doc_id].selected == (got[r.doc_id].tail_probability >= Q.MIN_PROBABILITY)
