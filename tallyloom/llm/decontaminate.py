@@ -1,6 +1,6 @@
 """Benchmark decontamination by suffix arrays of the training text.
 
-Training documents are dealt into shards (one Arrow batch each). A shard's suffix array holds the word suffixes that begin like some test suffix, sorted by their next words; every test suffix is binary-searched in every shard, which gives all places where at least a window of it stands word for word. Consecutive windows on one diagonal join to the longest verbatim matches. Test items travel in broadcast blocks of at most BLOCK_BYTES of text on average (one item is never split); however many blocks there are, each shard is searched with all of them.
+Training documents are dealt into shards (SLICE_BYTES of text each). A shard's suffix array holds the word suffixes that begin like some test suffix, sorted by their next words; every test suffix is binary-searched in every shard, which gives all places where at least a window of it stands word for word. Consecutive windows on one diagonal join to the longest verbatim matches with their places; hit words, listed items and removal all follow from these. Suffixes that begin like no test suffix can match none and are left out of the array before it is sorted. Test items travel in broadcast blocks of at most BLOCK_BYTES of text on average (one item is never split); however many blocks there are, each shard is searched with all of them.
 
 Words are runs of ASCII letters (A-Z lower-cased), digits and all characters beyond ASCII. A window is `window` consecutive words of an item, or the whole item where it has fewer.
 
@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import arrow_rows, bound_batches, table, text_or_empty
+from tallyloom.llm.common import arrow_rows, bound_batches, slices, table, text_or_empty
 
 BLOCK_BYTES = 8 << 20
 WINDOW = 10
@@ -119,30 +119,43 @@ def blocks_of(benchmark: DataFrame, window: int, id_col: str = "item_id", text_c
         yield Block([(r.id, r.text.encode()) for r in part.collect()], window)
 
 
+def matches_of(block: Block, docs: list[list[bytes]]) -> tuple[np.ndarray, ...]:
+    """Longest verbatim matches of at least a window between a shard's documents and a block's items: document, item, first word in either, number of words.
+
+    Windows of one item that follow each other at the same distance in a document overlap or touch, and join.
+    """
+    at, which, begins = block.search(docs)
+    many = block.owner_from[which + 1] - block.owner_from[which]
+    owner = np.repeat(block.owner_from[which] - np.cumsum(many) + many, many) + np.arange(many.sum())
+    at, size, item = np.repeat(at, many), np.repeat(block.sizes[which], many), block.owners[owner]
+    doc = np.searchsorted(begins, at, "right") - 1
+    at = at - begins[doc]
+    diagonal = at - block.places[owner]
+    order = np.lexsort((at, diagonal, item, doc))
+    doc, item, diagonal, at, size = (x[order] for x in (doc, item, diagonal, at, size))
+    new = np.ones(len(at), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (diagonal[1:] != diagonal[:-1]) | (at[1:] > at[:-1] + size[:-1])
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(at)) - 1 if len(at) else first
+    return doc[first], item[first], at[first], at[first] - diagonal[first], at[last] + size[last] - at[first]
+
+
 def judge(blocks: Iterable[Block], texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[set[str]]]:
-    """Words, hit words and the listed items of each text."""
+    """Words, hit words and the listed items of each text, from its longest matches."""
     docs = [words(t) for t in texts]
     sizes = np.array([len(d) for d in docs], np.int64)
-    covered: np.ndarray | None = None
+    begins = np.cumsum(sizes) - sizes
     items: list[set[str]] = [set() for _ in docs]
-    begins = np.zeros(0, np.int64)
+    step = np.zeros(int(sizes.sum()) + 1, np.int64)
     for block in blocks:
-        at, which, begins = block.search(docs)
-        if not len(at):
-            continue
-        if covered is None:
-            covered = np.zeros(int((sizes + 1).sum()) + block.window + 1, np.int32)
-        ends = at + block.sizes[which]
-        step = np.bincount(at, minlength=len(covered)) - np.bincount(ends, minlength=len(covered))
-        covered |= (np.cumsum(step) > 0).astype(np.int32)
-        doc = np.searchsorted(begins, at, "right") - 1
-        pairs = np.unique(np.stack([doc, which]), axis=1)
-        for d, w in pairs.T.tolist():
-            items[d].update(block.names[i] for i in block.owners[block.owner_from[w] : block.owner_from[w + 1]].tolist() if block.names[i] is not None)
-    if covered is None:
-        return sizes, np.zeros(len(docs), np.int64), items
-    total = np.concatenate([[0], np.cumsum(covered)])
-    return sizes, total[begins + sizes] - total[begins], items
+        doc, item, first, _, n = matches_of(block, docs)
+        np.add.at(step, begins[doc] + first, 1)
+        np.add.at(step, begins[doc] + first + n, -1)
+        for d, i in np.unique(np.stack([doc, item]), axis=1).T.tolist():
+            if block.names[i] is not None:
+                items[d].add(block.names[i])
+    hit = np.concatenate([[0], np.cumsum(np.cumsum(step[:-1]) > 0)])
+    return sizes, hit[begins + sizes] - hit[begins], items
 
 
 class _Held:
@@ -171,7 +184,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blocks = _Held(cast)
-        for batch in batches:
+        for batch in slices(batches, 1):
             sizes, hit, items = judge(blocks, batch.column(1).to_pylist())
             schema = pa.schema([("doc_id", batch.schema.field(0).type), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items", pa.list_(pa.string())), ("contaminated", pa.bool_())])
             yield arrow_rows({"doc_id": batch.column(0), "n_words": sizes, "n_hit": hit, "n_items": [len(x) for x in items], "items": [sorted(x) for x in items], "contaminated": hit > 0}, schema)
@@ -185,30 +198,10 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW)
     source = docs.select(F.col("doc_id"), text_or_empty().cast("binary").alias("text"))
     kind = source.schema["doc_id"].dataType.simpleString()
 
-    def diagonals(block: Block, docs_words: list[list[bytes]]) -> Iterator[tuple[int, str | None, int, int, int]]:
-        at, which, begins = block.search(docs_words)
-        doc = np.searchsorted(begins, at, "right") - 1
-        found = []
-        for d, p, w in zip(doc.tolist(), at.tolist(), which.tolist(), strict=True):
-            p -= int(begins[d])
-            for k in range(block.owner_from[w], block.owner_from[w + 1]):
-                found.append((d, int(block.owners[k]), p - int(block.places[k]), p, int(block.sizes[w])))
-        found.sort()
-        run: list = []
-        for d, item, diagonal, p, size in found:
-            if run and run[:3] == [d, item, diagonal] and p <= run[4]:
-                run[4] = max(run[4], p + size)
-                continue
-            if run:
-                yield run[0], block.names[run[1]], run[3], run[3] - run[2], run[4] - run[3]
-            run = [d, item, diagonal, p, p + size]
-        if run:
-            yield run[0], block.names[run[1]], run[3], run[3] - run[2], run[4] - run[3]
-
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 1):
             docs_words = [words(t) for t in batch.column(1).to_pylist()]
-            rows = [x for b in _Held(cast) for x in diagonals(b, docs_words)]
+            rows = [(d, b.names[i], *rest) for b in _Held(cast) for d, i, *rest in zip(*(x.tolist() for x in matches_of(b, docs_words)), strict=True)]
             schema = pa.schema([("doc_id", batch.schema.field(0).type), ("item_id", pa.string()), ("doc_word", pa.int64()), ("item_word", pa.int64()), ("n_words", pa.int64())])
             ids = batch.column(0).take(pa.array([x[0] for x in rows], pa.int64()))
             yield arrow_rows({"doc_id": ids} | {n: [x[k] for x in rows] for k, n in enumerate(("item_id", "doc_word", "item_word", "n_words"), 1)}, schema)
@@ -223,7 +216,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blocks = _Held(cast)
-        for batch in batches:
+        for batch in slices(batches, at):
             texts = [t.encode() if t else b"" for t in batch.column(at).to_pylist()]
             yield batch.filter(pa.array(judge(blocks, texts)[1] == 0))
 
