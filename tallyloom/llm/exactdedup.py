@@ -1,6 +1,6 @@
 """Exact dedup: a log-structured merge index over digests of white-space-free texts, with byte verification of its hits.
 
-Batches (memtables) are reduced to one entry a digest and flushed as sorted runs with bloom filters; compaction keeps the entry that wins (most code points in the original text, then the smallest id). Documents whose digest stands alone are done. The texts of the others are compared byte by byte, as the smallest and the largest text of each digest, which pre-aggregates before the shuffle; should two different texts ever share a digest, that digest's rows are grouped by the text itself.
+Batches (memtables) are reduced to one entry a digest and looked up in the index: its filter settles most digests, the others are merge-joined with the sorted runs. New digests are flushed as a sorted run, known ones are kept beside the runs; compaction keeps the entry that wins (most code points in the original text, then the smallest id). Documents whose digest stands alone are done. A filter of the digests that don't keeps all other texts out of the shuffle; the texts that pass are compared byte by byte, as the smallest and the largest text of each digest, which pre-aggregates before the shuffle; should two different texts ever share a digest, that digest's rows are grouped by the text itself. Texts of any length are treated whole.
 
 Defined results: null counts as empty; rows with a null id lose ties; rows that repeat an id and a length are tied and share one fate; an empty table gives no rows; only the id and text columns are read.
 """
@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.llm.common import BLANKS, save, table, text_or_empty, workspace
-from tallyloom.llm.runs import SortedRuns
+from tallyloom.llm.runs import SortedRuns, bits_for, filter_of, may_hold
 
 #: Shares that the rows of one digest are dealt over.
 SALTS = 16
@@ -37,14 +37,16 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     records.write.partitionBy("batch").parquet(f"{root}/records")
     stored = spark.read.schema(records.schema).parquet(f"{root}/records")
 
-    runs = SortedRuns(spark, f"{root}/runs", "digest", lambda: [F.min("best").alias("best"), F.sum("size").alias("size")], fanout)
+    bits = bits_for(stored.count())
+    runs = SortedRuns(spark, f"{root}/runs", "digest", lambda: [F.min("best").alias("best"), F.sum("size").alias("size")], fanout, bits)
     for b in range(batches):
         runs.add(stored.where(F.col("batch") == b).groupBy("digest").agg(F.min(_best()).alias("best"), F.count(F.lit(1)).alias("size")))
-    hits = runs.entries().where("size > 1")
+    hits = save(runs.entries().where("size > 1"), f"{root}/hits")
 
     # byte verification of the hits
     dealt = hits.select("digest", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    suspects = digests.withColumn("salt", _salt()).join(dealt.hint("shuffle_hash"), ["digest", "salt"], "left_semi")
+    asked = may_hold(digests.drop("n_points"), filter_of(hits, "digest", bits), "digest", bits).where("maybe")
+    suspects = asked.withColumn("salt", _salt()).join(dealt.hint("shuffle_hash"), ["digest", "salt"], "left_semi")
     checked = save(suspects.groupBy("digest").agg(F.min("norm").alias("low"), F.max("norm").alias("high")).where("low <> high").select("digest"), f"{root}/collisions")
 
     groups = hits.select("digest", "best", "size", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))

@@ -1,6 +1,6 @@
 """Line dedup: levelled sorted runs of line digests tell how many documents hold a line; each document then loses the lines that another one keeps.
 
-The corpus goes through in batches, split by document. A batch is reduced to one entry a line digest (documents that hold it, largest document) and flushed as a sorted run; runs are compacted level by level. With all runs in place, the lines are merge-joined with the digests that reached the limit and every line but the keeper's is taken out. Only 16-byte digests and positions are shuffled by line; texts move once, by document.
+The corpus goes through in batches, split by document. A batch is reduced to one entry a line digest (documents that hold it, largest document) and merge-anti-joined with the runs: digests that are new become a sorted run, those that are known are kept beside the runs as counts to be added. Runs are compacted level by level. A line's fate depends on the documents of all batches, so the lines that go are decided once all batches are in: they are merge-joined with the digests that reached the limit, and every line but the keeper's is taken out. Only 16-byte digests and positions are shuffled by line; texts move once, by document, whatever their length.
 
 Defined results: null and empty texts are one empty line, which is never dropped; a null id is one document that ranks below all others; rows that repeat an id count as one document, and each row loses its own lines; ties cannot arise, as the largest id keeps the line; an empty table gives no rows. Other columns of the input are kept, whatever their names; only n_lines and n_dropped are replaced, if these counts are wanted.
 """
@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.llm.common import lower_ascii, save, strip_blanks, table, text_or_empty, workspace
-from tallyloom.llm.runs import SortedRuns
+from tallyloom.llm.runs import SortedRuns, bits_for
 
 
 def line_digest(line):
@@ -36,7 +36,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     lines.write.partitionBy("batch").parquet(f"{root}/lines")
     stored = spark.read.schema(lines.schema).parquet(f"{root}/lines")
 
-    runs = SortedRuns(spark, f"{root}/runs", "digest", lambda: [F.sum("n_docs").alias("n_docs"), F.max("keeper").alias("keeper")], fanout)
+    runs = SortedRuns(spark, f"{root}/runs", "digest", lambda: [F.sum("n_docs").alias("n_docs"), F.max("keeper").alias("keeper")], fanout, bits_for(stored.count()))
     for b in range(batches):
         per_doc = stored.where(F.col("batch") == b).groupBy("digest", "id").agg(F.lit(1).alias("one"))
         runs.add(per_doc.groupBy("digest").agg(F.count(F.lit(1)).alias("n_docs"), F.max("id").alias("keeper")))
