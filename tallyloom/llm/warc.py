@@ -1,10 +1,10 @@
 """WARC archives without repeated payloads.
 
-Only headers (id, address, size, digest) are shuffled to find, for each payload digest, the record that stays a response; every other record of that payload becomes a revisit with a fresh header that refers to it and has no payload. Records are put together by native expressions and written by Spark's text writer; the archives are read back by a parser that follows Content-Length, and revisits are joined to their responses.
+Only headers (id, address, size, digests) are shuffled to find, for each payload (SHA-256 and length), the record that stays a response; every other record of that payload becomes a revisit with a fresh header that refers to it and has no payload. Of the payloads, only those that a filter of the repeated ones may hold are shuffled to meet what was found; the others are written where they are. Records are put together by native expressions and written by Spark's text writer; the archives are read back by a parser that follows Content-Length, and revisits are joined to their responses.
 
-Files are whole-file gzip. Each part holds at most RECORDS_PER_FILE records.
+Files are whole-file gzip, as Spark's writer makes them, not one member a record. Records are written by size class, each with as many to a part as keep it below some 256 MB before compression (a larger record is a part of its own), so parts can be read back as one row.
 
-Defined results: a null page is an empty payload; a null address leaves out WARC-Target-URI, a null id leaves out Page-Id and ranks below all others; rows that repeat the largest id and payload are all responses, and revisits refer to that id; an empty table gives an empty archive; other columns are ignored.
+Defined results: a null page is an empty payload; a null address leaves out WARC-Target-URI, a null id leaves out Page-Id and ranks below all others; rows that repeat the largest id and payload are all responses, and revisits refer to that id; pages of any length that Spark can hold are written whole; an empty table gives an empty archive; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,9 +19,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import arrow_rows, table, workspace
+from tallyloom.llm.common import arrow_rows, save, table, workspace
+from tallyloom.llm.runs import bits_for, filter_of, may_hold
 
-RECORDS_PER_FILE = 5_000
+#: Greatest payload of a size class, and records to a part; beyond the last class a part holds one record.
+SIZE_CLASSES = ((1 << 16, 4096), (1 << 20, 256), (1 << 24, 16))
 #: Shares that the records of one digest, or the revisits of one response, are dealt over.
 SALTS = 16
 #: Digits of base 32 (RFC 4648) and those that conv() writes.
@@ -46,18 +48,27 @@ def record_id(page_id: Column, digest: Column) -> Column:
     return F.concat(F.lit("<urn:uuid:"), part(1, 8), F.lit("-"), part(9, 4), F.lit("-5"), part(14, 3), F.lit("-a"), part(18, 3), F.lit("-"), part(21, 12), F.lit(">"))
 
 
-def resolve_revisits(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """Rows (page_id, url, html, digest, size, first): `first` is the id and address of the response that a record repeats, null for responses."""
+def with_digests(pages: DataFrame) -> DataFrame:
+    """page_id, url, html, its SHA-1 for the header as digest, its SHA-256 as key, and its size."""
     rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
-    rows = rows.withColumn("digest", payload_digest(F.col("html"))).withColumn("size", F.octet_length("html").cast("bigint"))
-    headers = rows.where(F.col("size") >= min_bytes).select("page_id", "url", "digest")
+    return rows.withColumns({"digest": payload_digest(F.col("html")), "key": F.sha2("html", 256), "size": F.octet_length("html").cast("bigint")})
+
+
+def resolve_revisits(pages: DataFrame, root: str, min_bytes: int = 0) -> DataFrame:
+    """The rows of with_digests with `first`: the id and address of the response that a record repeats, null for responses."""
+    rows = with_digests(pages)
     order = F.struct(F.col("page_id").isNotNull().alias("known"), F.col("page_id").alias("page_id"), F.col("url").alias("url"))
-    firsts = headers.groupBy("digest").agg(F.max(order).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    firsts = firsts.select("digest", "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
-    joined = salted.join(firsts.hint("shuffle_hash"), ["digest", "salt"], "left")
-    repeats = F.col("first").isNotNull() & (F.col("size") >= min_bytes) & ~F.col("page_id").eqNullSafe(F.col("first.page_id"))
-    return joined.select("page_id", "url", "html", "digest", "size", F.when(repeats, F.col("first")).alias("first"))
+    firsts = rows.where(F.col("size") >= min_bytes).groupBy("key", "size").agg(F.max(order).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    firsts = save(firsts.select("key", F.col("size").alias("same_size"), "first"), f"{root}/firsts")
+    bits = bits_for(firsts.count())
+    asked = may_hold(rows, filter_of(firsts, "key", bits), "key", bits)
+    dealt = firsts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = asked.where("maybe").withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
+    joined = salted.join(dealt.hint("shuffle_hash"), ["key", "salt"], "left")
+    repeats = F.col("first").isNotNull() & (F.col("size") == F.col("same_size")) & ~F.col("page_id").eqNullSafe(F.col("first.page_id"))
+    found = joined.select(*rows.columns, F.when(repeats, F.col("first")).alias("first"))
+    alone = asked.where("not maybe").select(*rows.columns, F.lit(None).cast(found.schema["first"].dataType).alias("first"))
+    return found.unionByName(alone)
 
 
 def warc_text(date: str = DATE) -> Column:
@@ -77,12 +88,12 @@ def warc_text(date: str = DATE) -> Column:
     return F.concat(
         F.lit(f"WARC/1.1{crlf}"),
         F.when(revisit, F.lit(f"WARC-Type: revisit{crlf}WARC-Profile: {REVISIT_PROFILE}{crlf}")).otherwise(F.lit(f"WARC-Type: response{crlf}")),
-        header("WARC-Record-ID", record_id(F.col("page_id"), F.col("digest"))),
+        header("WARC-Record-ID", record_id(F.col("page_id"), F.col("key"))),
         F.lit(f"WARC-Date: {date}{crlf}"),
         header("WARC-Target-URI", clean(F.col("url"))),
         header("Page-Id", F.col("page_id").cast("string")),
         header("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest"))),
-        header("WARC-Refers-To", F.when(revisit, record_id(F.col("first.page_id"), F.col("digest")))),
+        header("WARC-Refers-To", F.when(revisit, record_id(F.col("first.page_id"), F.col("key")))),
         header("WARC-Refers-To-Target-URI", clean(F.col("first.url"))),
         F.when(revisit, F.lit(f"WARC-Refers-To-Date: {date}{crlf}")).otherwise(F.lit("")),
         F.lit(f"Content-Type: application/http; msgtype=response{crlf}Content-Length: "),
@@ -92,10 +103,18 @@ def warc_text(date: str = DATE) -> Column:
     )
 
 
-def write_warc(pages: DataFrame, path: str, min_bytes: int = 0, date: str = DATE) -> None:
+def write_warc(pages: DataFrame, path: str, min_bytes: int = 0, date: str = DATE, classes: tuple[tuple[int, int], ...] = SIZE_CLASSES) -> None:
     """Writes deduplicated archives to the folder `path`."""
-    records = resolve_revisits(pages, min_bytes).select(warc_text(date).alias("value"))
-    records.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    spark = pages.sparkSession
+    resolved_rows = resolve_revisits(pages, workspace(spark, "revisits"), min_bytes)
+    size = F.coalesce(F.octet_length("html"), F.lit(0))
+    least, greatest = pages.agg(F.min(size), F.max(size)).first()
+    low = -1
+    for high, records_per_file in (*classes, (1 << 31, 1)):
+        if low < 0 or least is not None and greatest > low and least <= high:
+            records = resolved_rows.where((F.col("size") > low) & (F.col("size") <= high)).select(warc_text(date).alias("value"))
+            records.write.mode("append").option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path)
+        low = high
 
 
 def parse_warc(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:

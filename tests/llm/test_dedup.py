@@ -8,7 +8,7 @@ from tallyloom.llm import exactdedup as X
 from tallyloom.llm import linededup as L
 from tallyloom.llm import warc as W
 from tallyloom.llm.common import workspace
-from tallyloom.llm.runs import SortedRuns
+from tallyloom.llm.runs import SortedRuns, filter_of, may_hold
 
 BLANKS = " \t\n\x0b\x0c\r"
 sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
@@ -76,12 +76,25 @@ def test_runs_compact_and_anti_join(spark):
     runs = SortedRuns(spark, workspace(spark, "t"), "k", lambda: [F.sum("n").alias("n")], fanout=2)
     for b in range(5):
         batch = spark.createDataFrame([(f"k{b}", 1), ("all", 1)], "k string, n bigint")
-        assert {r.k for r in runs.fresh(batch).collect()} == {f"k{b}"} | ({"all"} if not b else set())
+        assert {r.k: r.fresh for r in runs.split(batch).collect()} == {f"k{b}": True, "all": not b}
         runs.add(batch)
+    assert [spark.read.parquet(p).count() for p in runs.known] == [0, 1, 1, 1, 1]
+    assert sum(spark.read.parquet(*paths).count() for paths in runs.levels if paths) == 6
     assert [len(x) for x in runs.levels] == [1, 0, 1]
     assert {r.k: r.n for r in runs.entries().collect()} == {"all": 5} | {f"k{b}": 1 for b in range(5)}
 
 
+def test_filters_never_miss(spark):
+    F = X.F
+    keys = spark.range(3000).select(F.sha2(F.col("id").cast("string"), 256).alias("k"))
+    others = spark.range(3000, 6000).select(F.sha2(F.col("id").cast("string"), 256).alias("k"))
+    for bits in (15, 18, 20):
+        pages = filter_of(keys, "k", bits)
+        assert may_hold(keys, pages, "k", bits).where("maybe").count() == 3000
+        assert may_hold(others, pages, "k", bits).where("maybe").count() <= 3000 * 3000 / 2**bits * 1.5 + 20
+    assert may_hold(keys, filter_of(keys.limit(0), "k", 15), "k", 15).where("maybe").count() == 0
+
+
 def warc_brute(rows, least=0):
     groups = {}
     for i, h in rows:
@@ -110,6 +123,18 @@ def test_warc_round_trip(spark):
     assert W.resolved(W.read_warc(spark, path)).count() == 0
 
 
+def test_warc_parts_are_bounded(spark):
+    rows = [(i, "h" * (10 if i % 3 else 5000) + str(i % 40)) for i in range(120)] + [(500 + i, "L" * 70000 + str(i % 2)) for i in range(4)]
+    pages = spark.createDataFrame([(i, "u", h) for i, h in rows], "page_id bigint, url string, html string").coalesce(1)
+    path = workspace(spark, "warc-test") + "/w"
+    W.write_warc(pages, path, classes=((100, 50), (6000, 2)))
+    parts = [list(W.parse_warc(bytes(r.content))) for r in spark.read.format("binaryFile").load(path).select("content").collect()]
+    held = [[len(block) for head, block in part if head["warc-type"] == "response"] for part in parts]
+    assert all(len(p) <= 50 for p in parts) and all(len(x) <= 2 for x in held if x and max(x) > 1000) and all(len(x) == 1 for x in held if x and max(x) > 60000)
+    got = [(r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in W.resolved(W.read_warc(spark, path)).collect()]
+    assert Counter(got) == Counter(warc_brute(rows))
+
+
 def test_warc_parser_refuses_damage():
     import pytest
 
