@@ -1,12 +1,14 @@
 """A training-data pipeline of five operators, each stage written as Parquet and read again as the next one's input.
 
-Every stage takes (spark, docs, sf_dir) and all but the last return the columns of docs:
+Every stage takes (spark, docs, sf_dir) and all but the last return the columns of docs, whatever further columns there are:
 
-1. quality: documents that the ordinal classifier rejects go.
-2. lines: lines found in several documents stay in one of them.
-3. near duplicates: of each group of similar documents the one with the smallest id stays.
-4. decontamination: documents that hold a window of a benchmark item go.
-5. pieces: every document that is left as SentencePiece ids, with the text they decode to checked against the input by digest.
+1. quality: documents that the ordinal classifier rejects go. Null and empty texts are scored as texts without words; repeated rows and ids are scored one by one.
+2. lines: lines found in several documents stay in one of them, the one with the largest id. Null and empty texts come back empty; rows that repeat an id count as one document, and each loses its own lines; a null id ranks below all others.
+3. near duplicates: of each group of similar documents the one with the smallest id stays, so there are no ties. Null, empty and blank texts are similar to nothing and stay, as do rows with a null id; rows that repeat an id belong together and stay or go together.
+4. decontamination: documents that hold a window of a benchmark item go. Null and empty texts hold none; repeated rows are judged one by one.
+5. pieces: every document that is left as SentencePiece ids, with the digest of the text that they decode to. Null and empty texts have no ids.
+
+Empty tables go through all stages and give no rows. Texts are treated whole, however long: stages 1 and 3 to 5 turn a bounded slice of texts, or one text, into Python objects at a time; stage 2 stays within Spark.
 """
 
 from __future__ import annotations
