@@ -4,16 +4,17 @@ Only the order of suffixes up to `window` bytes matters. Suffixes are dealt into
 
 Buckets are sorted one at a time. Within one, a difference cover modulo COVER_PERIOD gives sample positions; these are sorted once by their next `window` bytes, which gives their ranks at every shorter length too. Suffixes are then sorted by their first COVER_PERIOD bytes alone; suffixes that tie go by the ranks of the samples that stand at the same small distance behind both, which the cover grants for any two suffixes. What a bucket needs in memory is a fixed multiple of its segments, however long the repeats.
 
-Segments that stand at two places are repeats as they are. Of each distinct segment only the copy at its first place is sent to be sorted, so hot passages cost one row each.
+Segments that stand at two places are repeats as they are. Of each distinct segment only the copy at its first place is sent to be sorted, so hot passages cost one row each. A minimizer with more than HOT_BYTES of distinct segments, such as that of the edge of a passage in very many documents, would make a bucket that grows with the corpus: its segments are cut into single suffixes of `window` bytes, of which two equal ones are a repeat as they are, so that nothing of it is sorted in one task.
 
-Defined results: null counts as empty; texts shorter than the window stay whole; identical rows are copies of each other and lose everything (if long enough); a null id is kept as it is; an empty table gives no rows; other columns are ignored.
+Memory: workers hash STRETCH bytes at a time, of long texts overlapping pieces, and hold one text and one bucket (BUCKET_BYTES on average, HOT_BYTES more at most).
+
+Defined results: null counts as empty; texts shorter than the window stay whole; identical rows are copies of each other and lose everything (if long enough); a text of any length is treated whole; a null id is kept as it is; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -21,58 +22,46 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import arrow_rows, save, table, text_or_empty, workspace
-from tallyloom.llm.jaccard import Bitmap, mix
+from tallyloom.llm.common import arrow_rows, drop, save, slices, table, text_or_empty, workspace
+from tallyloom.llm.jaccard import Bitmap
+from tallyloom.llm.rolling import BASE, mix, stretch_hashes
 
 WINDOW = 200
 CONTEXT = 50
 #: A perfect difference set; any two residues modulo 31 have one distance behind them at which both are in the set.
 COVER_PERIOD, COVER = 31, (0, 1, 3, 8, 12, 18)
-#: Bytes of text that are hashed in one go (what then fits a processor's cache), and of text a bucket.
-STRETCH = 1 << 20
-BUCKET_BYTES = 2 << 20
+#: Bytes of text that are hashed in one go, of text a bucket, and of distinct segments of one minimizer that are sorted together.
+STRETCH = 1 << 18
+BUCKET_BYTES = 1 << 19
+HOT_BYTES = 1 << 20
+#: Rows of samples that are compared in one go.
+COMPARED = 1 << 13
 SALTS = 8
-_rng = np.random.default_rng(20240101)
-BYTE_WORDS = _rng.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-BASE = 0x9E3779B97F4A7C15
-UNBASE = pow(BASE, -1, 1 << 64)
-
-
-@lru_cache(maxsize=4)
-def _powers(base: int, n: int) -> np.ndarray:
-    return np.concatenate([[np.uint64(1)], np.multiply.accumulate(np.full(n, base, np.uint64))])
 
 
-def stretch_hashes(data: np.ndarray, size: int) -> np.ndarray:
-    """A 64-bit hash of the `size` bytes from each position on."""
-    out = np.empty(max(0, len(data) - size + 1), np.uint64)
-    step = 1 << 18
-    up, down = _powers(BASE, step + size), _powers(UNBASE, step)
-    for at in range(0, len(out), step):
-        end = min(at + step, len(out))
-        sums = np.concatenate([[np.uint64(0)], np.cumsum(BYTE_WORDS[data[at : end + size - 1]] * up[: end - at + size - 1], dtype=np.uint64)])
-        out[at:end] = (sums[size:] - sums[:-size]) * down[: end - at]
-    return mix(out)
+def stretches(texts: list[bytes], window: int) -> Iterator[list[tuple[int, int, bytes]]]:
+    """Groups of (text number, offset, piece) of some STRETCH bytes. Pieces of a long text overlap by window - 1 bytes, so that each window is in one of them."""
+    held, total = [], 0
+    for number, text in enumerate(texts):
+        for at in range(0, max(1, len(text) - window + 1), STRETCH):
+            piece = text[at : at + STRETCH + window - 1]
+            if held and total + len(piece) > STRETCH:
+                yield held
+                held, total = [], 0
+            held.append((number, at, piece))
+            total += len(piece)
+    if held:
+        yield held
 
 
 def segments(texts: list[bytes], window: int, context: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """By stretches of whole texts: text number, first start, number of starts, minimizer's place and its hash, of each segment. Starts are offsets in the text.
-
-    A text longer than a stretch is one stretch.
-    """
-    k = 0
-    while k < len(texts):
-        first, total = k, 0
-        while k < len(texts) and (total == 0 or total + len(texts[k]) <= STRETCH):
-            total += len(texts[k])
-            k += 1
-        part = texts[first:k]
+    """By stretches: text number, first start, number of starts, minimizer's place and its hash, of each segment. Starts are offsets in the text."""
+    for group in stretches(texts, window):
+        numbers, offsets, part = np.array([g[0] for g in group]), np.array([g[1] for g in group]), [g[2] for g in group]
         sizes = np.array([len(t) for t in part], np.int64)
         if sizes.max() < window:
             continue
         data = np.frombuffer(b"".join(part), np.uint8)
-        if len(data) < window:
-            continue
         hashes = stretch_hashes(data, context)
         w = window - context + 1
         n = len(data) - window + 1
@@ -101,10 +90,11 @@ def segments(texts: list[bytes], window: int, context: int) -> Iterator[tuple[np
         sizes_ = np.diff(np.append(heads, n))
         keep = valid[heads]
         heads, sizes_ = heads[keep], sizes_[keep]
-        text = np.searchsorted(ends, heads, "right")
+        piece = np.searchsorted(ends, heads, "right")
+        shift = offsets[piece] - begins[piece]
         spots = place[heads]
         # least hashes are small numbers: mixed again, they spread over bitmaps and buckets
-        yield text + first, heads - begins[text], sizes_, spots - begins[text], mix(hashes[spots] ^ np.uint64(BASE))
+        yield numbers[piece], heads + shift, sizes_, spots + shift, mix(hashes[spots] ^ np.uint64(BASE))
 
 
 def repeated_starts(parts: list[bytes], window: int) -> list[np.ndarray]:
@@ -137,9 +127,11 @@ def repeated_starts(parts: list[bytes], window: int) -> list[np.ndarray]:
         samples = np.unique(np.concatenate([starts[x] + d for d, x in behind.items()]))
         rows = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(data, window)[samples])
         by = np.argsort(rows.view(f"S{window}").ravel(), kind="stable")
-        differ = rows[by[1:]] != rows[by[:-1]]
-        common = np.where(differ.any(axis=1), differ.argmax(axis=1), window)
-        del rows, differ
+        common = np.empty(len(samples) - 1, np.int64)
+        for k in range(0, len(common), COMPARED):
+            differ = rows[by[k + 1 : k + 1 + COMPARED]] != rows[by[k : k + COMPARED][: len(common) - k]]
+            common[k : k + COMPARED] = np.where(differ.any(axis=1), differ.argmax(axis=1), window)
+        del rows
         at = np.empty(len(samples), np.int64)
         at[by] = np.arange(len(samples))
         for d, own in behind.items():
@@ -162,7 +154,7 @@ def _minimizers(texts: DataFrame, window: int, context: int) -> DataFrame:
     """Minimizer hashes found at two places or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 0):
             for text, _, _, spot, key in segments(batch.column(0).to_pylist(), window, context):
                 _, once = np.unique(np.stack([text, spot]), axis=1, return_index=True) if len(text) else (None, np.zeros(0, np.int64))
                 keys, n = np.unique(key[once], return_counts=True)
@@ -171,15 +163,6 @@ def _minimizers(texts: DataFrame, window: int, context: int) -> DataFrame:
     return texts.mapInArrow(run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")).where("n > 1").select("key")
 
 
-def _suspects(texts: list[bytes], window: int, context: int, shared: Bitmap) -> Iterator[tuple[int, int, int, int, bytes, bytes]]:
-    """(text number, first start, starts, minimizer hash, segment, its digest) of the segments whose minimizer is shared."""
-    for text, first, size, _, key in segments(texts, window, context):
-        take = np.nonzero(shared.has(key))[0]
-        for t, a, n, k in zip(text[take].tolist(), first[take].tolist(), size[take].tolist(), key[take].view(np.int64).tolist(), strict=True):
-            segment = texts[t][a : a + n + window - 1]
-            yield t, a, n, k, segment, hashlib.blake2b(segment, digest_size=16).digest()
-
-
 def text_digest(text: bytes) -> bytes:
     return hashlib.sha256(text).digest()[:16]
 
@@ -188,36 +171,49 @@ def _place(digest: bytes, start: int) -> int:
     return xxhash.xxh3_64_intdigest(digest + start.to_bytes(8, "big")) - (1 << 63)
 
 
-def _occurrences(texts: DataFrame, shared, window: int, context: int) -> DataFrame:
-    """Where suspect segments stand: text digest, start, number of starts, segment digest and a hash of the place."""
+SEGMENT_SCHEMA = pa.schema([("digest", pa.binary()), ("start", pa.int64()), ("n", pa.int64()), ("segment", pa.binary()), ("place", pa.int64()), ("key", pa.int64()), ("part", pa.binary())])
+
+
+def _suspects(batches: Iterator[pa.RecordBatch], window: int, context: int, shared: Bitmap, only: Bitmap | None = None, single: bool = False) -> Iterator[pa.RecordBatch]:
+    """The segments whose minimizer is shared (and among `only`), as rows of SEGMENT_SCHEMA; cut into single starts if wanted."""
+    for batch in slices(batches, 0):
+        distinct = {text_digest(t): t for t in batch.column(0).to_pylist()}
+        digests, texts = list(distinct), list(distinct.values())
+        for text, first, size, _, key in segments(texts, window, context):
+            hit = shared.has(key)
+            take = np.flatnonzero(hit & only.has(key) if only else hit)
+            text, first, size, key = text[take], first[take], size[take], key[take]
+            if single:
+                within = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+                text, key, first, size = np.repeat(text, size), np.repeat(key, size), np.repeat(first, size) + within, np.ones(int(size.sum()), np.int64)
+            t, a, n = text.tolist(), first.tolist(), size.tolist()
+            parts = [texts[i][b : b + m + window - 1] for i, b, m in zip(t, a, n, strict=True)]
+            names = [hashlib.blake2b(x, digest_size=16).digest() for x in parts]
+            own = [digests[i] for i in t]
+            places = [_place(d, b) for d, b in zip(own, a, strict=True)]
+            yield arrow_rows({"digest": own, "start": first, "n": size, "segment": names, "place": places, "key": key.view(np.int64), "part": parts}, SEGMENT_SCHEMA)
+
+
+def _occurrences(texts: DataFrame, shared, window: int, context: int, only=None, single: bool = False) -> DataFrame:
+    """Where suspect segments stand: text digest, start, number of starts, segment digest, a hash of the place and the minimizer's."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("digest", pa.binary()), ("start", pa.int64()), ("n", pa.int64()), ("segment", pa.binary()), ("place", pa.int64())])
-        for batch in batches:
-            distinct = {text_digest(t): t for t in batch.column(0).to_pylist()}
-            digests = list(distinct)
-            cols: dict = {f.name: [] for f in schema}
-            for t, a, n, _, _, name in _suspects(list(distinct.values()), window, context, shared.value):
-                for c, v in zip(cols.values(), (digests[t], a, n, name, _place(digests[t], a)), strict=True):
-                    c.append(v)
-            yield arrow_rows(cols, schema)
+        for found in _suspects(batches, window, context, shared.value, only.value if only else None, single):
+            yield found.select(SEGMENT_SCHEMA.names[:-1])
 
-    return texts.mapInArrow(run, "digest binary, start bigint, n bigint, segment binary, place bigint")
+    return texts.mapInArrow(run, "digest binary, start bigint, n bigint, segment binary, place bigint, key bigint")
 
 
 def _sorted_buckets(texts: DataFrame, shared, firsts, buckets: int, window: int, context: int) -> DataFrame:
     """(segment, firsts, ends): the runs of repeated starts of each segment that has any."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("bucket", pa.int64()), ("segment", pa.binary()), ("part", pa.binary())])
-        for batch in batches:
-            distinct = {text_digest(t): t for t in batch.column(0).to_pylist()}
-            digests = list(distinct)
-            rows = [(name, key % buckets, part, _place(digests[t], a)) for t, a, _, key, part, name in _suspects(list(distinct.values()), window, context, shared.value)]
-            if rows:
-                first = firsts.value.has(np.array([r[3] for r in rows], np.int64))
-                found = {r[0]: r for r, f in zip(rows, first.tolist(), strict=True) if f}
-                yield arrow_rows({"bucket": [r[1] for r in found.values()], "segment": list(found), "part": [r[2] for r in found.values()]}, schema)
+        for found in _suspects(batches, window, context, shared.value):
+            names = np.array(found.column("segment").to_pylist(), object)
+            first = np.flatnonzero(firsts.value.has(found.column("place").to_numpy()))
+            _, once = np.unique(names[first], return_index=True)
+            sent = found.take(pa.array(first[once]))
+            yield pa.RecordBatch.from_arrays([pa.array(sent.column("key").to_numpy().view(np.uint64) % np.uint64(buckets)).cast(pa.int64()), sent.column("segment"), sent.column("part")], ["bucket", "segment", "part"])
 
     def sort(t: pa.Table) -> pa.Table:
         parts = dict(zip(t.column("segment").to_pylist(), t.column("part").to_pylist(), strict=True))
@@ -235,7 +231,7 @@ def _sorted_buckets(texts: DataFrame, shared, firsts, buckets: int, window: int,
     return sent.groupBy("bucket").applyInArrow(sort, "segment binary, firsts array<bigint>, ends array<bigint>")
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, context: int = CONTEXT) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, context: int = CONTEXT, hot_bytes: int = HOT_BYTES) -> DataFrame:
     """One row per row of docs: id, n_bytes, n_removed, n_spans and kept (the remaining bytes)."""
     spark = docs.sparkSession
     root = workspace(spark, "suffixes")
@@ -245,9 +241,17 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     shared_keys = save(_minimizers(texts, window, context), f"{root}/minimizers")
     shared = spark.sparkContext.broadcast(Bitmap.of(shared_keys))
+    drop(spark, f"{root}/minimizers")
     places = save(_occurrences(texts, shared, window, context), f"{root}/places")
-    segment = save(places.groupBy("segment").agg(F.min("place").alias("low"), F.max("place").alias("high"), F.first("n").alias("n")), f"{root}/segments")
-    firsts = spark.sparkContext.broadcast(Bitmap.of(segment.select("low")))
+    segment_of = lambda rows: rows.groupBy("segment").agg(F.min("place").alias("low"), F.max("place").alias("high"), F.first("n").alias("n"), F.first("key").alias("key"))
+    segment = save(segment_of(places), f"{root}/segments")
+    hot = save(segment.groupBy("key").agg(F.sum(F.col("n") + window).alias("bytes")).where(F.col("bytes") > hot_bytes).select("key"), f"{root}/hot")
+    if not hot.isEmpty():
+        cut_up = save(_occurrences(texts, shared, window, context, spark.sparkContext.broadcast(Bitmap.of(hot)), single=True).join(hot, "key", "left_semi").select(places.columns), f"{root}/single")
+        places = places.join(hot, "key", "left_anti").select(places.columns).unionByName(cut_up)
+        segment = segment.join(hot, "key", "left_anti").unionByName(segment_of(cut_up).select(segment.columns))
+        segment = save(segment, f"{root}/all-segments")
+    firsts = spark.sparkContext.broadcast(Bitmap.of(segment.join(hot, "key", "left_anti").select("low")))
     buckets = max(1, -(-total // BUCKET_BYTES))
     alone = _sorted_buckets(texts, shared, firsts, buckets, window, context)
     whole = segment.where("low <> high").select("segment", F.array(F.lit(0).cast("bigint")).alias("firsts"), F.array("n").alias("ends"))
@@ -268,7 +272,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema_of = lambda t: pa.schema([(id_col, t), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary())])
-        for batch in batches:
+        for batch in slices(batches, 1):
             cols: dict = {n: [] for n in ("n_bytes", "n_removed", "n_spans", "kept")}
             for text, copied, firsts, ends in zip(*(batch.column(k).to_pylist() for k in range(1, 5)), strict=True):
                 at, kept, spans_ = 0, [], 0

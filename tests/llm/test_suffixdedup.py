@@ -5,6 +5,7 @@ from collections import Counter
 import numpy as np
 
 from tallyloom.llm import suffixdedup as S
+from tallyloom.llm.rolling import stretch_hashes
 
 
 def brute(rows, window):
@@ -38,7 +39,7 @@ def test_cover_and_hashes():
         for b in range(S.COVER_PERIOD):
             assert any((a + d) % S.COVER_PERIOD in S.COVER and (b + d) % S.COVER_PERIOD in S.COVER for d in range(S.COVER_PERIOD))
     data = np.frombuffer(random.Random(1).randbytes(3000) * 2, np.uint8)
-    h = S.stretch_hashes(data, 50)
+    h = stretch_hashes(data, 50)
     assert (h[:2951] == h[3000:5951]).all() and len(np.unique(h[:2951])) == 2951
 
 
@@ -65,6 +66,38 @@ def test_rows_equal_brute_force(spark):
     assert S.remove_repeats(df.limit(0)).count() == 0
 
 
+def test_pieces_of_long_texts_cover_each_start_once(monkeypatch):
+    texts = [random.Random(1).randbytes(n) for n in (3000, 10, 199, 200, 701, 0, 1500)]
+    whole = {(t, s + k): (spot, key) for t, s, n, spot, key in zip(*(np.concatenate(c).tolist() for c in zip(*S.segments(texts, 200, 50), strict=True)), strict=True) for k in range(n)}
+    monkeypatch.setattr(S, "STRETCH", 500)
+    rows = [(t, s + k, spot, key) for t, s, n, spot, key in zip(*(np.concatenate(c).tolist() for c in zip(*S.segments(texts, 200, 50), strict=True)), strict=True) for k in range(n)]
+    assert len(rows) == len(whole) == sum(max(0, len(t) - 199) for t in texts)
+    assert {(t, s): (spot, key) for t, s, spot, key in rows} == whole
+
+
+def test_hot_minimizers(spark):
+    rows = make(3, 60)
+    rng = random.Random(4)
+    edge = "".join(rng.choice("pqrstuv") for _ in range(70))
+    rows += [(100 + i, "".join(rng.choice("abc") for _ in range(rng.randint(0, 90))) + edge + "".join(rng.choice("xyz") for _ in range(50))) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    want = Counter(brute(rows, 60))
+    for hot_bytes in (0, 2000, S.HOT_BYTES):
+        got = Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in S.remove_repeats(df, window=60, context=20, hot_bytes=hot_bytes).collect())
+        assert got == want, hot_bytes
+
+
+def test_memory_of_a_long_text_is_bounded():
+    import tracemalloc
+
+    text = random.Random(7).randbytes(16 << 20)
+    tracemalloc.start()
+    n = sum(int(size.sum()) for _, _, size, _, _ in S.segments([text], 200, 50))
+    _, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert n == len(text) - 199 and peak < 100 << 20, peak
+
+
 def test_query_equals_brute_force(spark):
     sf = "/root/testdata/sf0.001"
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
