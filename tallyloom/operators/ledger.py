@@ -140,3 +140,33 @@ def total_report(calls: DataFrame, strategies: int = 5) -> DataFrame:
 
 def as_json(rows: DataFrame) -> DataFrame:
     return rows.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in rows.columns])).alias("value"))
+
+
+def status(calls: DataFrame) -> DataFrame:
+    """One row: how many calls the ledger holds, and the first and last second of them."""
+    return calls.agg(F.count(F.lit(1)).alias("calls"), F.min("timestamp").alias("first"), F.max("timestamp").alias("last"))
+
+
+def text_report(calls: DataFrame, view: str = "total") -> DataFrame:
+    """(part, pos, line): the lines of a report as they are printed, in order of part and pos. Each part has at most as many rows as the report shows."""
+
+    def lines(rows: DataFrame, part: int, label: str, *columns: str, order: list[Column]) -> DataFrame:
+        pos = F.row_number().over(Window.orderBy(*order)) - 1
+        return rows.select(F.lit(part).alias("part"), pos.alias("pos"), F.format_string(label, *columns).alias("line"))
+
+    by_saved = [F.desc("saved"), F.col("strategy")]
+    if view == "total":
+        sums = totals(calls)
+        own = [("calls: %d", "calls"), ("saved: %d bytes (~%d tokens)", "saved", "estimated_tokens"), ("savings: %.1f%% of raw bytes", "savings_percent")]
+        head = sums.select(F.lit(0).alias("part"), F.posexplode(F.array(*[F.format_string(*x) for x in own])).alias("pos", "line"))
+        saved = lines(top_saved(calls), 1, "top saved: %s %d bytes", "category", "saved", order=[F.desc("saved"), F.col("category")])
+        often = lines(top_calls(calls), 2, "top calls: %s %d", "category", "calls", order=[F.desc("calls"), F.col("category")])
+        ways = lines(strategy_breakdown(calls, 3), 3, "top strategy: %s %d bytes %.1f%%", "strategy", "saved", "percent", order=by_saved)
+        return head.unionByName(saved).unionByName(often).unionByName(ways)
+    if view == "breakdown":
+        return lines(strategy_breakdown(calls), 0, "%s %d bytes %.1f%% (%d calls)", "strategy", "saved", "percent", "calls", order=by_saved)
+    if view == "daily":
+        return lines(daily_saved(calls).withColumn("day", F.col("day").cast("string")), 0, "%s: %d bytes", "day", "saved", order=[F.col("day")])
+    if view == "graph":
+        return lines(savings_graph(calls).withColumn("day", F.col("day").cast("string")), 0, "%s %d %s", "day", "saved", "bar", order=[F.col("day")])
+    raise ValueError(f"no such view: {view}")

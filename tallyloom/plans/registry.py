@@ -103,6 +103,11 @@ QUERIES = {
     "match_groups": _match_rows,
     "first_k_per_group": lambda spark, sf: lines.first_k(derived.calls(spark, sf).select("category", "event_id", "timestamp"), ["category"], ["timestamp", "event_id"], 5),
     "byte_accounting": _totals_by_strategy,
+    "ledger_status": _ledger(ledger.status),
+    "text_total": _ledger(ledger.text_report),
+    "text_breakdown": _ledger(lambda calls: ledger.text_report(calls, "breakdown")),
+    "text_daily": _ledger(lambda calls: ledger.text_report(calls, "daily")),
+    "text_graph": _ledger(lambda calls: ledger.text_report(calls, "graph")),
 }
 
 _CALLS = f"with calls as ({derived.CALLS_SQL}), "
@@ -183,5 +188,21 @@ ORACLE_SQL = {
       select strategy, count(*) as n, cast(sum(before) as bigint) as before, cast(sum(after) as bigint) as after from x group by strategy""",
 }
 
+
+
+def _text(query: str, part: int, label: str, order: str) -> str:
+    return f"select {part} as part, cast(row_number() over (order by {order}) - 1 as int) as pos, {label} as line from ({ORACLE_SQL[query]})"
+
+
+ORACLE_SQL |= {
+    "ledger_status": f"{_CALLS} t as (select count(*) as calls, min(timestamp) as first, max(timestamp) as last from calls) select * from t",
+    "text_breakdown": _text("strategy_breakdown", 0, "printf('%s %d bytes %.1f%% (%d calls)', strategy, saved, percent, calls)", "saved desc, strategy"),
+    "text_daily": _text("daily_saved", 0, "printf('%s: %d bytes', cast(day as varchar), saved)", "day"),
+    "text_graph": _text("savings_graph", 0, "printf('%s %d %s', cast(day as varchar), saved, bar)", "day"),
+    "text_total": f"""select 0 as part, pos, line from (select unnest([0, 1, 2]) as pos, unnest([printf('calls: %d', calls), printf('saved: %d bytes (~%d tokens)', saved, estimated_tokens), printf('savings: %.1f%% of raw bytes', savings_percent)]) as line from ({ORACLE_SQL["totals"]}))
+      union all {_text("top_saved", 1, "printf('top saved: %s %d bytes', category, saved)", "saved desc, category")}
+      union all {_text("top_calls", 2, "printf('top calls: %s %d', category, calls)", "calls desc, category")}
+      union all select * from ({_text("strategy_breakdown", 3, "printf('top strategy: %s %d bytes %.1f%%', strategy, saved, percent)", "saved desc, strategy")}) where pos < 3""",
+}
 QUERIES |= reports.QUERIES | routing.QUERIES
 ORACLE_SQL |= reports.ORACLE_SQL | routing.ORACLE_SQL

@@ -85,11 +85,6 @@ def _routed_sql() -> str:
       from d join k using (kind) where strategy is not null group by all"""
 
 
-def _strategies(spark, sf: str):
-    rows = route.compact(kinds_of_captures(spark, sf))
-    return rows.groupBy("tool", "exit_code", "strategy", "recorded").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("output").cast("bigint")).alias("shown"))
-
-
 def first_of_each(spark, sf: str):
     """A group of null keys is a group."""
     calls = derived.calls(spark, sf).select(F.expr("nullif(category, 'view')").alias("category"), F.expr("nullif(exit_code, 1)").alias("code"), "event_id", "timestamp")
@@ -112,7 +107,6 @@ _PATH = f"case when {K} < 4 then concat('f', {W}) when {K} < 6 then concat('skip
 QUERIES = {
     "classify_command": classified,
     "routed_ledger": routed_ledger,
-    "routed_strategies": _strategies,
     "first_k_null_keys": first_of_each,
     "raw_expired": old_records,
     "tree_listing": trees,

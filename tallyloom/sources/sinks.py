@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 STREAM_LIMIT = 10 << 20
@@ -58,3 +58,23 @@ def expired(records: DataFrame, keep: int = KEPT_RAW, by: list[str] | None = Non
         return records.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") > keep).drop("rank")
     edge = newest(records, keep).agg(F.min(age).alias("edge"), F.count(F.lit(1)).alias("n_newest")).where(F.col("n_newest") == keep)
     return records.join(F.broadcast(edge), age < F.col("edge")).drop("edge", "n_newest")
+
+
+def drop_old_days(spark: SparkSession, path: str, now: int, days: int = DEFAULT_DAYS) -> list[str]:
+    """Deletes the day folders of a ledger that `retained` reads nothing from; gives their names. Nothing is rewritten."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    store = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if days == 0 or not store.exists(where):
+        return []
+    first = spark.range(1).select(F.to_date(F.timestamp_seconds(F.lit(now - days * 86400))).cast("string")).first()[0]
+    old = [f.getPath() for f in store.listStatus(where) if f.getPath().getName().startswith("day=") and f.getPath().getName()[4:] < first]
+    for folder in old:
+        store.delete(folder, True)
+    return sorted(f.getName() for f in old)
+
+
+def clear(spark: SparkSession, path: str) -> None:
+    """Deletes a ledger."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)

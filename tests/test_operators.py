@@ -181,3 +181,27 @@ def test_blank_commands_are_not_rewritten(spark):
 
     df = spark.createDataFrame([(" ",), ("",), (None,), ("ls",)], "c string")
     assert rows(df.select(classify.rewrite(F.col("c")))) == [(None,), (None,), (None,), (classify.PREFIX + "ls",)]
+
+
+def test_settings_and_retention_of_days(spark, tmp_path):
+    from tallyloom.sources import settings
+
+    path = str(tmp_path / "conf" / "settings.json")
+    assert settings.load(spark, path) == settings.DEFAULTS == settings.load(spark, path)
+    settings.save(spark, {"tee": {"mode": "always"}, "own": 1, "truncate": 7}, path)
+    got = settings.load(spark, path)
+    assert got["tee"] == settings.DEFAULTS["tee"] | {"mode": "always"} and got["own"] == 1 and got["truncate"] == 7 and got["ignore_files"] == ["*.lock"]
+    assert settings.with_tracking(got, False)["tracking"] == {"enabled": False, "history_days": 90} and settings.with_tracking({"tracking": 3}, True)["tracking"] == {"enabled": True}
+    (tmp_path / "broken.json").write_text("{")
+    assert settings.load(spark, str(tmp_path / "broken.json")) == settings.merged([1]) == settings.DEFAULTS
+
+    ledger_path = str(tmp_path / "days")
+    assert sinks.drop_old_days(spark, ledger_path, T1) == []
+    sinks.append_calls(calls(spark, [("a", 9, 1, 0, T1 - 91 * 86400), ("b", 9, 1, 0, T1 - 90 * 86400), ("c", 9, 1, 0, T1)]), ledger_path)
+    before = sinks.retained(spark.read.parquet(ledger_path), T1).count()
+    assert sinks.drop_old_days(spark, ledger_path, T1, 0) == [] and len(sinks.drop_old_days(spark, ledger_path, T1)) == 1
+    left = spark.read.parquet(ledger_path)
+    assert sinks.retained(left, T1).count() == before == left.count() == 2
+    assert rows(ledger.status(schema.migrate(left))) == [(2, T1 - 90 * 86400, T1)]
+    sinks.clear(spark, ledger_path)
+    assert schema.read_ledger(spark, ledger_path).count() == 0
