@@ -2,6 +2,7 @@
 
 from tallyloom.llm.decontaminate import OP8_SQL, op8_decontamination
 from tallyloom.llm.exactdedup import OP9_SQL, op9_exact_dedup
+from tallyloom.llm.filteraudit import OP12_SQL, op12_filter_audit
 from tallyloom.llm.jaccard import OP6_SQL, op6_ngram_jaccard
 from tallyloom.llm.linededup import OP5_SQL, op5_line_dedup
 from tallyloom.llm.piececode import op1_sentencepiece
@@ -22,6 +23,7 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op12_filter_audit": op12_filter_audit,
 }
 
 ORACLE_SQL = {
@@ -30,4 +32,5 @@ ORACLE_SQL = {
     "op6_ngram_jaccard": OP6_SQL,
     "op8_decontamination": OP8_SQL,
     "op9_exact_dedup": OP9_SQL,
+    "op12_filter_audit": OP12_SQL,
 }
