@@ -11,6 +11,7 @@ from tallyloom.llm.secrets import op2_secret_scan
 from tallyloom.llm.suffixdedup import op10_suffix_dedup
 from tallyloom.llm.toxicity import op7_toxicity
 from tallyloom.llm.warc import OP3_SQL, op3_warc_revisits
+from tallyloom.llm.whitening import op11_whitening
 
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
@@ -23,6 +24,7 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op11_whitening": op11_whitening,
     "op12_filter_audit": op12_filter_audit,
 }
 
