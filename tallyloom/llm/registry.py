@@ -3,6 +3,7 @@
 from tallyloom.llm.decontaminate import OP8_SQL, op8_decontamination
 from tallyloom.llm.exactdedup import OP9_SQL, op9_exact_dedup
 from tallyloom.llm.filteraudit import OP12_SQL, op12_filter_audit
+from tallyloom.llm.htmltext import op13_html_text
 from tallyloom.llm.jaccard import OP6_SQL, op6_ngram_jaccard
 from tallyloom.llm.linededup import OP5_SQL, op5_line_dedup
 from tallyloom.llm.piececode import op1_sentencepiece
@@ -26,6 +27,7 @@ QUERIES = {
     "op10_suffix_dedup": op10_suffix_dedup,
     "op11_whitening": op11_whitening,
     "op12_filter_audit": op12_filter_audit,
+    "op13_html_text": op13_html_text,
 }
 
 ORACLE_SQL = {
