@@ -98,6 +98,11 @@ def passthrough_cost(calls: DataFrame, now: int, days: int = 7, top: int = 10) -
     return _top(rows, top, F.desc("raw"), F.desc("n"))
 
 
+def rolled_up(rollups: DataFrame, *by: str) -> DataFrame:
+    """Calls, raw and saved bytes by any of a roll-up's columns (day, category, strategy, passthrough), without reading calls. By nothing: one row for all."""
+    return rollups.groupBy(*by).agg(*[_sum(F.col(c)).alias(c) for c in ("calls", "raw", "saved")])
+
+
 #: Texts of the hints.
 HINT_LOG = "git log без -n: укажите -n N — "
 HINT_FIND = "find по всему дереву: укажите -maxdepth или путь — "

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.operators.ledger import saved_bytes
 from tallyloom.sources.schema import CALLS
+from tallyloom.sources.sinks import append_calls
 
 
 def read_calls(spark: SparkSession, path: str, **options: str) -> DataFrame:
@@ -31,3 +32,9 @@ def daily_stream(calls: DataFrame, late: str = "1 day") -> DataFrame:
 def write(stream: DataFrame, path: str, checkpoint: str, **options):
     """Appends closed windows to Parquet; starts and returns the query."""
     return stream.writeStream.format("parquet").outputMode("append").option("path", path).option("checkpointLocation", checkpoint).trigger(**(options or {"availableNow": True})).start()
+
+
+def append_stream(calls: DataFrame, path: str, checkpoint: str, name: str = "stream", settings: dict | None = None, **options):
+    """Appends a stream to a ledger, each micro-batch under the stream's name and the batch's number; a batch that is delivered again replaces itself. Starts and returns the query."""
+    sink = lambda rows, number: append_calls(rows, path, f"{name}-{number}", settings)
+    return calls.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(**(options or {"availableNow": True})).start()
