@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,6 +10,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyloom.sources import store
+
 #: The ASCII white space of the contracts, [\x20\x09-\x0D].
 BLANKS = " \t\n\x0b\x0c\r"
 #: Bytes of one column that a Python worker turns into objects of its own at a time (one row may be longer).
@@ -31,37 +30,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder that all machines share; one of our own only where none is named (tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
-        root = tempfile.mkdtemp(prefix="tallyloom-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-    except Exception:  # the session may have ended before the interpreter
-        pass
-
-
 def workspace(spark: SparkSession, label: str) -> str:
     """A new folder for intermediate tables. It goes when the interpreter ends, as results are read from it lazily."""
     bound_batches(spark)
-    path = f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
-    atexit.register(_remove, spark, path)
-    return path
+    return store.workspace(spark, label)
 
 
 def drop(spark: SparkSession, path: str) -> None:
     """Deletes an intermediate table that nothing reads any more."""
-    _remove(spark, path)
+    store.remove(spark, path)
 
 
 def save(df: DataFrame, path: str, **options: str) -> DataFrame:
