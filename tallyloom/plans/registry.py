@@ -9,7 +9,7 @@ from tallyloom.functions import text as X
 from tallyloom.functions.arrays import let
 from tallyloom.functions.rules import apply_rules
 from tallyloom.operators import accounting, ledger, lines, route, sessions
-from tallyloom.plans import reports, routing, streams
+from tallyloom.plans import ordering, reports, routing, streams
 from tallyloom.sources import derived, sinks
 
 DAY = 86400
@@ -204,5 +204,5 @@ ORACLE_SQL |= {
       union all {_text("top_calls", 2, "printf('top calls: %s %d', category, calls)", "calls desc, category")}
       union all select * from ({_text("strategy_breakdown", 3, "printf('top strategy: %s %d bytes %.1f%%', strategy, saved, percent)", "saved desc, strategy")}) where pos < 3""",
 }
-QUERIES |= reports.QUERIES | routing.QUERIES | streams.QUERIES
-ORACLE_SQL |= reports.ORACLE_SQL | routing.ORACLE_SQL | streams.ORACLE_SQL
+QUERIES |= ordering.QUERIES | reports.QUERIES | routing.QUERIES | streams.QUERIES
+ORACLE_SQL |= ordering.ORACLE_SQL | reports.ORACLE_SQL | routing.ORACLE_SQL | streams.ORACLE_SQL
