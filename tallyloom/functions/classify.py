@@ -9,6 +9,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallyloom.functions.guard import or_null, readable
+
 #: The allow-list.
 PREFIX = "tally "
 MOST_CHARS = 4096
@@ -37,13 +39,9 @@ CHECKERS = ("ruff", "eslint", "golangci-lint")
 
 
 @F.udf(T.ArrayType(T.StringType()), useArrow=True)
+@or_null
 def _tokens(command: str | None) -> list[str] | None:
-    if command is None:
-        return None
-    try:
-        return shlex.split(command)
-    except ValueError:
-        return None
+    return None if command is None else shlex.split(command)
 
 
 def may_rewrite(t: Column) -> Column:
@@ -71,7 +69,7 @@ def may_rewrite(t: Column) -> Column:
 def candidate(command: Column, prefix: str = PREFIX) -> Column:
     """The command if it passes the cheap tests, else null; only these are tokenized."""
     plain = (F.length(command) > 0) & (F.length(command) <= MOST_CHARS) & ~command.startswith(prefix) & ~command.rlike(FORBIDDEN)
-    return F.when(plain, command)
+    return F.when(plain, readable(command))
 
 
 def rewrite(command: Column, prefix: str = PREFIX) -> Column:
@@ -94,11 +92,13 @@ def _message(text: str | None) -> dict:
 
 
 @F.udf(T.StringType(), useArrow=True)
+@or_null
 def _command(text: str | None) -> str | None:
     return _message(text).get("tool_input", {}).get("command")
 
 
 @F.udf(T.StringType(), useArrow=True)
+@or_null
 def _answer(text: str | None, command: str | None, context: str) -> str | None:
     if command is None:
         return None
@@ -108,10 +108,11 @@ def _answer(text: str | None, command: str | None, context: str) -> str | None:
 
 def hook_answer(message: Column, prefix: str = PREFIX, context: str = HOOK_CONTEXT) -> Column:
     """The answer to an agent's JSON message, or null. Keys of the tool's input are open, so JSON is read and written in Arrow UDFs."""
+    message = readable(message)
     return _answer(message, rewrite(_command(message), prefix), F.lit(context))
 
 
 def detect_runner(args: Column) -> Column:
     """The test runner that a command starts, or null."""
-    name, sub = F.regexp_extract(args[0], r"([^/]*)\z", 1), F.get(args, F.lit(1))
+    name, sub = F.regexp_extract(F.get(args, F.lit(0)), r"([^/]*)\z", 1), F.get(args, F.lit(1))
     return F.when(name.isin("pytest", "jest", "vitest"), name).when(name.isin("cargo", "go") & (sub == "test"), name)

@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallyloom.functions.guard import or_null, readable
 from tallyloom.functions.text import join_lines, lines_of, run_lines
 
 #: What a line or key that names a secret contains, in lower case.
@@ -40,16 +41,13 @@ def _pruned(value):
 
 
 @F.udf(T.StringType(), useArrow=True)
+@or_null
 def _redact_json(text: str | None) -> str | None:
-    """Null for what isn't JSON."""
-    if text is None:
-        return None
-    try:
-        return json.dumps(_pruned(json.loads(text.strip())), indent=2, sort_keys=True)
-    except (ValueError, RecursionError):
-        return None
+    """Null for what isn't JSON, or is nested deeper than can be followed."""
+    return None if text is None else json.dumps(_pruned(json.loads(text.strip())), indent=2, sort_keys=True)
 
 
 def compact_cloud(text: Column) -> Column:
     """JSON without secret keys at any depth, sorted and indented; other text as compact_infra. The depth of JSON is open, so this one is an Arrow UDF."""
-    return F.coalesce(_redact_json(text), compact_infra(text))
+    text = readable(text)
+    return F.when(text.isNotNull(), F.coalesce(_redact_json(text), compact_infra(text)))

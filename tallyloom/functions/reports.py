@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tallyloom.functions.arrays import cut_at_markers, leading, let, segments, where_index, without_trailing
-from tallyloom.functions.text import first_int, join_lines, lines_of, ltrim, section, trim
+from tallyloom.functions.text import as_int, first_int, join_lines, lines_of, ltrim, section, trim
 
 
 def _none() -> Column:
@@ -25,11 +25,11 @@ def _starts(x: Column, marks: tuple[str, ...]) -> Column:
 
 
 def _report(failures: Column, failed: Column, passed: Column) -> Column:
-    return F.struct(failures.alias("failures"), failed.cast("int").alias("failed"), passed.cast("int").alias("passed"))
+    return F.struct(failures.alias("failures"), failed.try_cast("int").alias("failed"), passed.try_cast("int").alias("passed"))
 
 
 def _sum_matches(text: Column, pattern: str, group: int) -> Column:
-    return F.aggregate(F.regexp_extract_all(text, F.lit(pattern), group), F.lit(0), lambda a, x: a + x.try_cast("int"))
+    return F.aggregate(F.regexp_extract_all(text, F.lit(pattern), group), F.lit(0), lambda a, x: F.try_add(a, x.try_cast("int")))
 
 
 #: Line ends that count within a test summary.
@@ -49,7 +49,7 @@ def pytest_report(text: Column) -> Column:
     by_file = segments(F.array_sort(numbered), lambda b, i: (i == 0) | (F.get(b, i)["key"] != F.get(b, i - 1)["key"]))
     groups = F.flatten(F.transform(by_file, lambda g: F.concat(F.array(F.concat(g[0]["key"], F.lit(":"))), F.transform(g, lambda x: F.concat(F.lit("  "), x["val"])))))
     parts = F.concat(F.when(block != "", F.array(block)).otherwise(_none()), groups)
-    return _report(join_lines(parts), first_int(text, r"(\d+) failed") + first_int(text, r"(\d+) error"), first_int(text, r"(\d+) passed"))
+    return _report(join_lines(parts), F.try_add(first_int(text, r"(\d+) failed"), first_int(text, r"(\d+) error")), first_int(text, r"(\d+) passed"))
 
 
 def cargo_test_report(text: Column) -> Column:
@@ -71,7 +71,7 @@ def jest_report(text: Column) -> Column:
     cut = cut_at_markers(lines_of(text), lambda x: _starts(x, ends))
     kept = F.filter(cut, lambda s: s[0].startswith("FAIL "))
     tests = r"(?U)Tests:\s+(\d+) failed,\s+(\d+) passed"
-    return _report(trim(join_lines(F.flatten(kept))), first_int(text, tests), F.coalesce(F.regexp_extract(text, tests, 2).try_cast("int"), F.lit(0)))
+    return _report(trim(join_lines(F.flatten(kept))), first_int(text, tests), as_int(F.regexp_extract(text, tests, 2)))
 
 
 def vitest_report(text: Column) -> Column:
@@ -85,17 +85,19 @@ def vitest_report(text: Column) -> Column:
         return F.flatten(F.transform(cut_, lambda s, i: F.when(mark(s[0]) == "×", F.concat(file(i), F.array(s[0]), rest(s))).otherwise(_none())))
 
     tests = r"(?U)Tests\s+(\d+) failed\s*\|\s*(\d+) passed"
-    return _report(trim(join_lines(let(cut, show))), first_int(text, tests), F.coalesce(F.regexp_extract(text, tests, 2).try_cast("int"), F.lit(0)))
+    return _report(trim(join_lines(let(cut, show))), first_int(text, tests), as_int(F.regexp_extract(text, tests, 2)))
 
 
 TEST_REPORTS = {"pytest": pytest_report, "cargo": cargo_test_report, "go": go_test_report, "jest": jest_report, "vitest": vitest_report}
 
 
 def test_text(report: Column, failures_only: bool = False) -> Column:
+    """The report as it is shown; null if its counts couldn't be read."""
     if failures_only:
         return report["failures"]
-    counter = F.format_string("%d failed, %d passed", report["failed"], report["passed"])
-    return F.concat_ws("\n", F.when(trim(report["failures"]) != "", report["failures"]), counter)
+    known = report["failed"].isNotNull() & report["passed"].isNotNull()
+    counter = F.when(known, F.format_string("%d failed, %d passed", report["failed"], report["passed"]))
+    return F.when(known, F.concat_ws("\n", F.when(trim(report["failures"]) != "", report["failures"]), counter))
 
 
 def _with_count(kept: Column, n=F.size) -> Column:
@@ -132,9 +134,9 @@ def cargo_text(text: Column) -> Column:
     told = F.filter(lines_of(text), lambda x: ~_starts(x, CARGO_PROGRESS))
     below = lambda x: (x.startswith(" ") | _blank(x)) & ~x.startswith("    = warning")
     kept = F.flatten(F.filter(cut_at_markers(told, lambda x: ~below(x)), lambda s: s[0].startswith("error")))
-    previous = F.regexp_extract(text, r"due to (\d+) previous error", 1).try_cast("int")
-    n = F.coalesce(previous, F.regexp_count(text, F.lit(r"(?m)^error(?:\[|:)")))
-    return join_lines(F.concat(without_trailing(kept, _blank), F.array(F.format_string("%d errors", n))))
+    previous = F.regexp_extract(text, r"due to (\d+) previous error", 1)
+    n = F.when(previous == "", F.regexp_count(text, F.lit(r"(?m)^error(?:\[|:)"))).otherwise(previous.try_cast("int"))
+    return F.when(n.isNotNull(), join_lines(F.concat(without_trailing(kept, _blank), F.array(F.format_string("%d errors", n)))))
 
 
 def next_text(text: Column) -> Column:

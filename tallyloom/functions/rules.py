@@ -76,6 +76,7 @@ def _step(name: str, value) -> object:
     if name == "replace":
         if not isinstance(value, dict) or "pattern" not in value:
             raise ValueError("replace needs a pattern")
+        re.compile(value["pattern"]).sub(value.get("replacement", ""), "")  # refuses groups that the pattern lacks
         pattern, by = java_pattern(value["pattern"]), java_replacement(value.get("replacement", ""))
         return lambda a: F.transform(a, lambda x: F.regexp_replace(x, pattern, by))
     if name in ("max_lines", "tail_lines"):
@@ -96,7 +97,7 @@ def apply_rules(text: Column, tool: Column, rules: list[dict]) -> Column:
     """The text after every rule for its tool, in order. If a rule has a bad value, texts stay as they are, as they do where a rule can't run."""
     try:
         compiled = [(r.get("match_command"), compile_rule(r)) for r in rules]
-    except (ValueError, TypeError, re.error):
+    except (ValueError, TypeError, IndexError, re.error):
         return text
     for match, change in compiled:
         text = _where_tool(text, tool, match, change)

@@ -107,5 +107,10 @@ def section(text: Column, start: str, end: str | None = None) -> Column:
 
 
 def first_int(text: Column, pattern: str) -> Column:
-    """The first group of the first match as a number, or 0."""
-    return F.coalesce(F.regexp_extract(text, pattern, 1).try_cast("int"), F.lit(0))
+    """The first group of the first match as a number; 0 without a match, null for a number that is too large."""
+    return as_int(F.regexp_extract(text, pattern, 1))
+
+
+def as_int(digits: Column) -> Column:
+    """Digits as a number; 0 for none, null for a number that is too large."""
+    return F.when(digits == "", F.lit(0)).otherwise(digits.try_cast("int"))

@@ -38,16 +38,29 @@ def secret_rows(lines: DataFrame) -> DataFrame:
 
 
 def first_k(rows: DataFrame, by: list[str], order: list[str], k: int) -> DataFrame:
-    """The first k rows of each group as rank, and the group's size as n_group. Null keys are a group of their own.
+    """The first k rows of each group as rank, and the group's size as n_group. Null keys are a group of their own. An input column of these names comes back as input_rank or input_n_group.
 
     Groups of any size: ranks beyond k are cut off before the shuffle (a window group limit), and sizes are counted before theirs, so only k rows a group and task travel.
     """
+    rows, named = apart(rows, ("rank", "n_group"))
+    by, order = [named.get(c, c) for c in by], [named.get(c, c) for c in order]
     few = rows.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("rank") <= k).alias("few")
     sizes = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n_group")).alias("sizes")
     same = reduce(lambda a, b: a & b, [F.col(f"few.`{c}`").eqNullSafe(F.col(f"sizes.`{c}`")) for c in by])
     return few.join(sizes, same).select("few.*", "sizes.n_group")
 
 
+def apart(rows: DataFrame, made: tuple[str, ...]) -> tuple[DataFrame, dict[str, str]]:
+    """rows with `input_` before the names of columns that are about to be made, and the names that changed. A column that is so renamed already makes room again."""
+    named: dict[str, str] = {}
+    for c in rows.columns:
+        if c in made:
+            named[c] = f"input_{c}"
+            while named[c] in rows.columns or named[c] in made:
+                named[c] = f"input_{named[c]}"
+    return rows.withColumnsRenamed(named), named
+
+
 def path_rows(paths: DataFrame, path: Column, names: int = 10) -> DataFrame:
     """(dir, n, names) of a relation of paths: distinct names of each directory, the first few of them in order."""
     from tallyloom.functions.groups import base_name, dir_name
@@ -64,7 +77,7 @@ def tree_rows(files: DataFrame, id_col: str, path: Column, ignore_dirs: list[str
     """
     parts = F.filter(F.split(path, "/"), lambda x: x != "")
     kept = files.select(F.col(id_col), parts.alias("parts"))
-    kept = kept.where(~F.arrays_overlap(F.slice("parts", 1, F.greatest(F.size("parts") - 1, F.lit(0))), F.array(*[F.lit(d) for d in ignore_dirs or []]).cast("array<string>")))
+    kept = kept.where(F.size("parts") > 0).where(~F.arrays_overlap(F.slice("parts", 1, F.greatest(F.size("parts") - 1, F.lit(0))), F.array(*[F.lit(d) for d in ignore_dirs or []]).cast("array<string>")))
     name = F.element_at("parts", -1)
     for glob in ignore_globs or []:
         hit = name.rlike(glob_pattern(glob))

@@ -104,6 +104,38 @@ def trees(spark, sf: str):
 
 _PATH = f"case when {K} < 4 then concat('f', {W}) when {K} < 6 then concat('skip/', {W}) when {K} = 6 then concat('a/', {W}, '.pyc') when {K} < 11 then concat('d', doc_id % 4, '/', {W}) else concat('d', doc_id % 4, '/e', doc_id % 3, '/', {W}, '.py') end"
 
+#: Captures of whole texts that their parsers can't work on, and some that they can: tool, arguments, what stands before the text, whether a byte that is no UTF-8 stands after it, and whether it is recorded.
+BROKEN = [
+    ("pytest", [], "99999999999 failed", False, False),
+    ("pytest", [], "1 failed, 2 passed", False, True),
+    ("cargo", ["test"], "2147483647 passed; 0 failed 2 passed; 0 failed", False, False),
+    ("cargo", ["build"], "due to 99999999999 previous error", False, False),
+    ("jest", [], "Tests: 99999999999 failed, 1 passed", False, False),
+    ("vitest", [], "Tests 1 failed | 99999999999 passed", False, False),
+    ("go", ["test"], "--- PASS: x", False, True),
+    ("aws", ["s3"], "{", True, False),
+    ("read", ["a.py", "-l", "aggressive"], "x = 1", True, False),
+]
+
+
+def routed_broken(spark, sf: str):
+    """Captures that parsers fail on come out raw and unrecorded, the others of the same job as ever. A column of the captures has the name of one that routing makes."""
+    pick = lambda values: F.get(F.array(*values), (F.col("doc_id") % len(BROKEN)).cast("int"))
+    docs = derived.documents(spark, sf)
+    odd = F.when(pick([F.lit(k[3]) for k in BROKEN]), F.unhex(F.lit("FF")).cast("string")).otherwise(F.lit(""))
+    out = F.concat(pick([F.lit(k[2] + "\n") for k in BROKEN]), F.coalesce("text", F.lit("")), odd)
+    rows = docs.select(F.col("doc_id").alias("capture_id"), pick([F.lit(k[0]) for k in BROKEN]).alias("tool"), pick([F.array(*[F.lit(a) for a in k[1]]).cast("array<string>") for k in BROKEN]).alias("args"), out.alias("stdout"), F.lit("").alias("stderr"), F.lit(0).alias("exit_code"), (F.col("doc_id") % len(BROKEN)).alias("strategy"))
+    done = route.compact(rows)
+    raw = (F.col("output") == F.col("stdout")).cast("bigint")
+    return done.groupBy(F.col("input_strategy").alias("kind"), "tool").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("recorded").cast("bigint")).alias("n_recorded"), F.sum(raw).alias("n_raw"), F.sum(F.octet_length("stdout")).alias("before"))
+
+
+def _broken_sql() -> str:
+    kinds = ", ".join(f"({k}, {_quoted(tool)}, {len(ahead.encode()) + 1 + odd}, {int(recorded)})" for k, (tool, _, ahead, odd, recorded) in enumerate(BROKEN))
+    return f"""select cast(kind as bigint) as kind, tool, count(*) as n, cast(sum(recorded) as bigint) as n_recorded, cast(sum(1 - recorded) as bigint) as n_raw, cast(sum(strlen(coalesce(text, '')) + more) as bigint) as before
+      from documents join (values {kinds}) as k(kind, tool, more, recorded) on doc_id % {len(BROKEN)} = kind group by kind, tool"""
+
+
 QUERIES = {
     "classify_command": classified,
     "routed_ledger": routed_ledger,
@@ -129,3 +161,5 @@ ORACLE_SQL = {
       select lang, cast(r as int) as pos, repeat('  ', depth) || name || case when is_dir then ' (' || direct || ')' else '' end as line from r where r <= 59
       union all select lang, 60, '... (' || total - 59 || ' more)' from r where r = 1 and total > 59""",
 }
+QUERIES["routed_broken"] = routed_broken
+ORACLE_SQL["routed_broken"] = _broken_sql()
