@@ -70,14 +70,17 @@ def path_rows(paths: DataFrame, path: Column, names: int = 10) -> DataFrame:
     return few.groupBy("dir").agg(F.max("n_group").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "name"))), lambda x: x["name"]), ",").alias("names"))
 
 
-def tree_rows(files: DataFrame, id_col: str, path: Column, ignore_dirs: list[str] | None = None, ignore_globs: list[str] | None = None, most: int = 200) -> DataFrame:
+def tree_rows(files: DataFrame, id_col: str, path: Column, ignore_dirs: list[str] | None = None, ignore_globs: list[str] | None = None, most: int = 200, is_dir: Column | None = None) -> DataFrame:
     """(id, pos, line) of each root's tree: a directory's files, then its directories, both sorted, with a line that counts what is left out.
 
-    files has one row a file with its path below the root. Directories are those that hold files.
+    files has one row a file with its path below the root. Directories are those that hold files, and the rows that `is_dir` holds for, such as empty ones.
     """
     parts = F.filter(F.split(path, "/"), lambda x: x != "")
-    kept = files.select(F.col(id_col), parts.alias("parts"))
-    kept = kept.where(F.size("parts") > 0).where(~F.arrays_overlap(F.slice("parts", 1, F.greatest(F.size("parts") - 1, F.lit(0))), F.array(*[F.lit(d) for d in ignore_dirs or []]).cast("array<string>")))
+    every = files.select(F.col(id_col), parts.alias("parts"), F.coalesce(is_dir if is_dir is not None else F.lit(False), F.lit(False)).alias("holds"))
+    ignored = F.array(*[F.lit(d) for d in ignore_dirs or []]).cast("array<string>")
+    holders = every.where(F.col("holds") & ~F.arrays_overlap("parts", ignored)).select(id_col, F.explode(F.transform(F.sequence(F.lit(0), F.size("parts")), lambda n: F.slice("parts", F.lit(1), n))).alias("dir"))
+    kept = every.where("not holds").select(id_col, "parts")
+    kept = kept.where(F.size("parts") > 0).where(~F.arrays_overlap(F.slice("parts", 1, F.greatest(F.size("parts") - 1, F.lit(0))), ignored))
     name = F.element_at("parts", -1)
     for glob in ignore_globs or []:
         hit = name.rlike(glob_pattern(glob))
@@ -86,7 +89,10 @@ def tree_rows(files: DataFrame, id_col: str, path: Column, ignore_dirs: list[str
     as_key = lambda a, last_is_file: F.transform(a, lambda x, i: node(F.when((i == F.size(a) - 1) & last_is_file, F.lit(0)).otherwise(F.lit(1)), x))
     file_rows = kept.select(id_col, as_key(F.col("parts"), F.lit(True)).alias("key"), F.size("parts").alias("depth"), name.alias("name"), F.lit(0).alias("direct"))
     above = kept.select(id_col, F.explode(F.transform(F.sequence(F.lit(0), F.size("parts") - 1), lambda n: F.struct(F.slice("parts", F.lit(1), n).alias("dir"), (n == F.size("parts") - 1).cast("int").alias("own")))).alias("d"))
-    dirs = above.groupBy(id_col, F.col("d.dir").alias("dir")).agg(F.sum("d.own").alias("direct"))
+    held = above.select(id_col, "d.dir", "d.own")
+    if is_dir is not None:
+        held = held.unionByName(holders.select(id_col, "dir", F.lit(0).alias("own")))
+    dirs = held.groupBy(id_col, "dir").agg(F.sum("own").alias("direct"))
     dir_rows = dirs.select(id_col, as_key(F.col("dir"), F.lit(False)).alias("key"), F.size("dir").alias("depth"), F.coalesce(F.get("dir", F.size("dir") - 1), F.lit(".")).alias("name"), F.col("direct"))
     dir_rows = dir_rows.select(id_col, "key", "depth", F.format_string("%s (%d)", "name", "direct").alias("name"), "direct")
     rows = dir_rows.unionByName(file_rows)
@@ -96,6 +102,16 @@ def tree_rows(files: DataFrame, id_col: str, path: Column, ignore_dirs: list[str
     return shown.unionByName(more)
 
 
+def with_trees(captures: DataFrame, files: DataFrame, path: Column, is_dir: Column | None = None, **options) -> DataFrame:
+    """captures with tree, the text of the tree below each one's directory, from files with a capture_id; null where files has none. The tree's first line names the directory as the command did. The router shows it for `tree`."""
+    lines = tree_rows(files.select(F.col("capture_id").alias("tree_of"), path.alias("path"), *([is_dir.alias("is_dir")] if is_dir is not None else [])), "tree_of", F.col("path"), is_dir=None if is_dir is None else F.col("is_dir"), **options)
+    texts = implode_lines(lines, "tree_of").withColumnRenamed("text", "tree")
+    root = F.coalesce(F.get("args", F.lit(0)), F.lit("."))
+    label = F.when(root == "/", root).when(F.rtrim(root, F.lit("/")) == "", ".").otherwise(F.rtrim(root, F.lit("/")))
+    joined = captures.join(texts, captures.capture_id == texts.tree_of, "left").drop("tree_of")
+    return joined.withColumn("tree", F.concat(label, F.substring("tree", 2, 1 << 30)))
+
+
 def glob_pattern(glob: str) -> str:
     """A shell pattern as a Java one for whole names."""
     import re

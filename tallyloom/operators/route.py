@@ -84,6 +84,9 @@ class Routes:
             (ls & (F.size(flags) == 0) & (F.size(args) <= 1) & self.ok & self.directories.isNotNull(), "ls", G.listing_text(F.coalesce(F.get(args, F.lit(0)), F.lit(".")), F.filter(entries, is_dir), F.filter(entries, lambda x: ~is_dir(x)), self.ultra)),
         ]
 
+    def tree(self) -> list:
+        return [((self.tool == "tree") & (F.size(self.args) <= 1) & self.ok & F.col("tree").isNotNull(), "tree", F.col("tree"))]
+
     def grep(self) -> list:
         plain = ~F.exists(self.args, lambda x: x.isin(*GREP_FLAGS) | x.rlike("^(" + "|".join(GREP_PREFIXES) + ")"))
         return [((self.tool == "grep") & plain, "grep", F.when(F.col("exit_code") == 1, F.lit("no matches")).when(self.ok & (F.length(self.out) <= SMALL_GREP), self.out).when(self.ok, G.match_text(self.out)))]
@@ -152,6 +155,7 @@ class Routes:
 FAMILIES = {
     "git": ("git",),
     "listing": ("ls",),
+    "tree": ("tree",),
     "grep": ("grep",),
     "find": ("find",),
     "plain": (*LOSSLESS, "rg", "cat"),
@@ -182,11 +186,11 @@ RULED = ("test", "linter", "package", "infra")
 
 
 def compact(captures: DataFrame, rules: list[dict] | None = None, bypass: list[str] | None = None, ultra: bool = False, failures_only: bool = False, tools: list[str] | None = None) -> DataFrame:
-    """captures with strategy, output, passthrough and recorded. Optional columns branch and revision hold what git says of the work tree; directories (array of strings) the names among a listed directory's entries that are directories. Where it is null, as for a listed file, a bare ls passes through. ultra: the shortest listings; failures_only: test reports without their counts. Commands that failed are shown and not recorded, and so are captures that their parser can't work on (numbers or nesting beyond all measure, bytes that are no UTF-8): they come out raw. An input column with the name of one that is made here comes back as input_<name>. tools: the tools that occur, if they are known; captures of others pass through."""
+    """captures with strategy, output, passthrough and recorded. Optional columns branch and revision hold what git says of the work tree; directories (array of strings) the names among a listed directory's entries that are directories. Where it is null, as for a listed file, a bare ls passes through; tree (lines.with_trees) the text of the directory's tree, without which `tree` passes through. Trees are shown and not recorded. ultra: the shortest listings; failures_only: test reports without their counts. Commands that failed are shown and not recorded, and so are captures that their parser can't work on (numbers or nesting beyond all measure, bytes that are no UTF-8): they come out raw. An input column with the name of one that is made here comes back as input_<name>. tools: the tools that occur, if they are known; captures of others pass through."""
     rules = rules or []
     captures, _ = apart(captures, ("strategy", "output", "passthrough", "recorded", "way", "compacted"))
     rows = captures
-    for extra, kind in (("branch", "string"), ("revision", "string"), ("directories", "array<string>")):
+    for extra, kind in (("branch", "string"), ("revision", "string"), ("directories", "array<string>"), ("tree", "string")):
         if extra not in rows.columns:
             rows = rows.withColumn(extra, F.lit(None).cast(kind))
     rows = rows.withColumns({"args": F.coalesce("args", F.array().cast("array<string>")), "stdout": F.coalesce("stdout", F.lit("")), "stderr": F.coalesce("stderr", F.lit(""))})
@@ -204,4 +208,4 @@ def compact(captures: DataFrame, rules: list[dict] | None = None, bypass: list[s
     nothing = F.col("strategy").isin(*RULED) & (F.col("stdout") == "")
     out = rows.withColumn("compacted", F.when(~nothing, output.otherwise(F.col("stdout"))))
     ruled = F.when(F.col("strategy").isin(*RULED) & (F.col("compacted") != ""), apply_rules(F.col("compacted"), F.col("tool"), rules)).otherwise(F.col("compacted"))
-    return out.select(*captures.columns, "strategy", F.coalesce(ruled, F.when(F.col("strategy").isin(*QUIET) & (F.col("exit_code") != 0), "").otherwise(F.col("stdout"))).alias("output"), (F.col("strategy") == "passthrough").cast("int").alias("passthrough"), (F.col("compacted").isNotNull() & ~((F.col("strategy") == "smart") & (F.col("compacted") == UNKNOWN))).alias("recorded"))
+    return out.select(*captures.columns, "strategy", F.coalesce(ruled, F.when(F.col("strategy").isin(*QUIET) & (F.col("exit_code") != 0), "").otherwise(F.col("stdout"))).alias("output"), (F.col("strategy") == "passthrough").cast("int").alias("passthrough"), (F.col("compacted").isNotNull() & (F.col("strategy") != "tree") & ~((F.col("strategy") == "smart") & (F.col("compacted") == UNKNOWN))).alias("recorded"))

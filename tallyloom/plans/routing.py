@@ -161,5 +161,18 @@ ORACLE_SQL = {
       select lang, cast(r as int) as pos, repeat('  ', depth) || name || case when is_dir then ' (' || direct || ')' else '' end as line from r where r <= 59
       union all select lang, 60, '... (' || total - 59 || ' more)' from r where r = 1 and total > 59""",
 }
+def routed_trees(spark, sf: str):
+    """What `tree` shows of each language's files, through the router."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("lang", "doc_id", F.lit(0).alias("pos")).where("lang is not null")
+    number = F.ascii("lang") * 256 + F.ascii(F.substring("lang", 2, 1))
+    files = docs.select(number.cast("bigint").alias("capture_id"), F.expr(_PATH).alias("path")).distinct()
+    captures = docs.select(number.cast("bigint").alias("capture_id"), F.lit("tree").alias("tool"), F.array(F.concat(F.lit("src/"), "lang", F.lit("/"))).alias("args"), F.lit("raw").alias("stdout"), F.lit("").alias("stderr"), F.lit(0).alias("exit_code")).distinct()
+    shown = route.compact(lines.with_trees(captures, files, F.col("path"), ignore_dirs=["skip"], ignore_globs=["*.pyc"], most=60))
+    return shown.select("capture_id", "strategy", "output", "recorded")
+
+
+QUERIES["routed_trees"] = routed_trees
+ORACLE_SQL["routed_trees"] = f"""select cast(ascii(lang) * 256 + ascii(lang[2:2]) as bigint) as capture_id, 'tree' as strategy, 'src/' || lang || substring(string_agg(line, chr(10) order by pos), 2) as output, false as recorded
+  from ({ORACLE_SQL["tree_listing"]}) group by lang"""
 QUERIES["routed_broken"] = routed_broken
 ORACLE_SQL["routed_broken"] = _broken_sql()
