@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyloom.functions import classify as C
-from tallyloom.operators import accounting, lines, route
+from tallyloom.operators import accounting, lines, route, ruletable
 from tallyloom.plans.reports import K, W
 from tallyloom.sources import derived, sinks
 
@@ -171,6 +171,27 @@ def routed_trees(spark, sf: str):
     return shown.select("capture_id", "strategy", "output", "recorded")
 
 
+#: Tools that have rules, and rules of each; a rule drops the lines of one length.
+RULED_TOOLS, RULES_OF_EACH, LENGTHS, MOST_LINES = 50, 20, 200, 40
+
+
+def rules_of_tools(spark, sf: str):
+    """A thousand rules for fifty tools, and one for all, over documents as the output of sixty tools."""
+    docs = derived.documents(spark, sf)
+    captures = docs.select(F.col("doc_id").alias("capture_id"), F.concat(F.lit("t"), F.col("doc_id") % (RULED_TOOLS + 10)).alias("tool"), F.col("text").alias("stdout"))
+    rule = F.col("id")
+    length = ((rule % RULED_TOOLS) * 7 + F.floor(rule / RULED_TOOLS) * 13) % LENGTHS
+    table = spark.range(RULED_TOOLS * RULES_OF_EACH).select(rule.alias("pos"), F.concat(F.lit("t"), rule % RULED_TOOLS).alias("match_command"), F.to_json(F.struct(F.format_string("^.{%d}$", length).alias("strip_lines_matching"))).alias("rule"))
+    last = spark.range(1).select(F.lit(1 << 40).alias("pos"), F.lit(None).cast("string").alias("match_command"), F.lit('{"max_lines": %d}' % MOST_LINES).alias("rule"))
+    out = ruletable.apply_rule_table(captures, table.unionByName(last))
+    return out.select("capture_id", "tool", F.size(F.split("stdout", "\n", -1)).alias("n_lines"), F.sha2("stdout", 256).alias("digest"))
+
+
+QUERIES["rules_of_tools"] = rules_of_tools
+ORACLE_SQL["rules_of_tools"] = f"""with d as (select doc_id, doc_id % {RULED_TOOLS + 10} as t, string_split(text, chr(10)) as a from documents where text is not null),
+  k as (select doc_id, t, list_filter(a, lambda x: t >= {RULED_TOOLS} or len(list_filter(range(0, {RULES_OF_EACH}), lambda j: (t * 7 + j * 13) % {LENGTHS} = length(x))) = 0)[1:{MOST_LINES}] as a from d)
+  select doc_id as capture_id, 't' || t as tool, cast(greatest(len(a), 1) as int) as n_lines, sha256(coalesce(array_to_string(a, chr(10)), '')) as digest from k
+  union all select doc_id, 't' || (doc_id % {RULED_TOOLS + 10}), null, null from documents where text is null"""
 QUERIES["routed_trees"] = routed_trees
 ORACLE_SQL["routed_trees"] = f"""select cast(ascii(lang) * 256 + ascii(lang[2:2]) as bigint) as capture_id, 'tree' as strategy, 'src/' || lang || substring(string_agg(line, chr(10) order by pos), 2) as output, false as recorded
   from ({ORACLE_SQL["tree_listing"]}) group by lang"""
