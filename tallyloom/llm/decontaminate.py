@@ -1,6 +1,8 @@
 """Benchmark decontamination by suffix arrays of the training text.
 
-Training documents are dealt into shards (SLICE_BYTES of text each). A shard's suffix array holds the word suffixes that begin like some test suffix, sorted by their next words; every test suffix is binary-searched in every shard, which gives all places where at least a window of it stands word for word. Consecutive windows on one diagonal join to the longest verbatim matches with their places; hit words, listed items and removal all follow from these. Suffixes that begin like no test suffix can match none and are left out of the array before it is sorted. Test items travel in broadcast blocks of at most BLOCK_BYTES of text on average (one item is never split); however many blocks there are, each shard is searched with all of them.
+Test windows are hashed into a bitmap of bounded size, and one scan of the training documents tells which of them may hold a window; only these, few in clean text, are looked at further. They are dealt into shards (SLICE_BYTES of text each). A shard's suffix array holds the word suffixes that begin like some test suffix, sorted by their next words; every test suffix is binary-searched in every shard, which gives all places where at least a window of it stands word for word. Consecutive windows on one diagonal join to the longest verbatim matches with their places; hit words, listed items and removal all follow from these. Suffixes that begin like no test suffix can match none and are left out of the array before it is sorted.
+
+Test items are dealt once into blocks of at most BLOCK_BYTES of text on average (one item is never split). Blocks are broadcast and searched for one after the other, each over the same stored candidates, and their matches are stored: driver and workers hold one block at a time however many there are, and the cost of another block is a pass over the candidates, not over the documents.
 
 Words are runs of ASCII letters (A-Z lower-cased), digits and all characters beyond ASCII. A window is `window` consecutive words of an item, or the whole item where it has fewer.
 
@@ -16,7 +18,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import arrow_rows, bound_batches, slices, table, text_or_empty
+from tallyloom.llm.common import bound_batches, save, slices, table, text_or_empty, workspace
+from tallyloom.llm.jaccard import Bitmap
+from tallyloom.llm.rolling import folded_words, mix
 
 BLOCK_BYTES = 8 << 20
 WINDOW = 10
@@ -109,14 +113,72 @@ class Block:
         return at[order[np.repeat(first[hits], many) + within]], which, begins
 
 
-def blocks_of(benchmark: DataFrame, window: int, id_col: str = "item_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> Iterator[Block]:
-    """The items in blocks of a checked size; the driver holds one at a time."""
+def window_keys(texts: list[bytes], n: int, hashed: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of n consecutive words within a text, and the text's number. hashed: what `hashed_words` gives."""
+    words_, first = hashed
+    keys = mix(_lead_keys(words_, n) ^ (np.uint64(n) * MULT))
+    at = np.arange(len(keys))
+    of = np.searchsorted(first, at, "right") - 1
+    whole = at + n <= first[of + 1] if len(keys) else np.zeros(0, bool)
+    return keys[whole], of[whole]
+
+
+def hashed_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of each word of some texts laid end to end, and where each text's words begin (and end)."""
+    plain = [t.lower().translate(TO_WORDS) for t in texts]
+    begins, hashes = folded_words(np.frombuffer(b" ".join(plain) + b" ", np.uint8))
+    return hashes, np.searchsorted(begins, np.cumsum([0] + [len(t) + 1 for t in plain]))
+
+
+def _second(keys: np.ndarray) -> np.ndarray:
+    return mix(keys ^ MULT)
+
+
+class Windows:
+    """Which windows a benchmark has, in a bitmap that misses none: lengths in words, and two bits a window."""
+
+    def __init__(self, lengths: list[int], bitmap: Bitmap):
+        self.lengths, self.bitmap = lengths, bitmap
+
+    @staticmethod
+    def of(benchmark: DataFrame, window: int, path: str) -> Windows:
+        rows = benchmark.select(text_or_empty().cast("binary").alias("text"))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in slices(batches, 0):
+                texts = batch.column(0).to_pylist()
+                hashed = hashed_words(texts)
+                sizes = np.minimum(np.diff(hashed[1]), window)
+                for n in np.unique(sizes[sizes > 0]).tolist():
+                    keys, of = window_keys(texts, n, hashed)
+                    keys = np.unique(keys[sizes[of] == n])
+                    both = np.concatenate([keys, _second(keys)])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(both), n), pa.int32()), pa.array(both.view(np.int64))], ["n", "key"])
+
+        keys = save(rows.mapInArrow(run, "n int, key bigint"), path)
+        return Windows(sorted(r.n for r in keys.select("n").distinct().collect()), Bitmap.of(keys.select("key")))
+
+    def may_hit(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Number of words of each text, and whether it may hold a window."""
+        hashed = hashed_words(texts)
+        out = np.zeros(len(texts), bool)
+        for n in self.lengths:
+            keys, of = window_keys(texts, n, hashed)
+            at = np.flatnonzero(self.bitmap.has(keys))
+            out[of[at[self.bitmap.has(_second(keys[at]))]]] = True
+        return np.diff(hashed[1]), out
+
+
+def blocks_of(benchmark: DataFrame, window: int, path: str, id_col: str = "item_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> Iterator[Block]:
+    """The items in blocks of a checked size, dealt out once below `path`; the driver holds one at a time."""
     rows = benchmark.select(F.col(id_col).cast("string").alias("id"), text_or_empty(text_col).alias("text"))
     total = rows.agg(F.sum(F.octet_length("text").cast("bigint") + 16)).first()[0] or 0
     n = max(1, -(-total // block_bytes))
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(n)).cast("int"))
+    dealt.write.partitionBy("block").parquet(path)
+    stored = rows.sparkSession.read.schema(dealt.schema).parquet(path)
     for b in range(n):
-        part = rows if n == 1 else rows.where(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == b)
-        yield Block([(r.id, r.text.encode()) for r in part.collect()], window)
+        yield Block([(r.id, r.text.encode()) for r in stored.where(F.col("block") == b).collect()], window)
 
 
 def matches_of(block: Block, docs: list[list[bytes]]) -> tuple[np.ndarray, ...]:
@@ -158,69 +220,88 @@ def judge(blocks: Iterable[Block], texts: list[bytes]) -> tuple[np.ndarray, np.n
     return sizes, hit[begins + sizes] - hit[begins], items
 
 
-class _Held:
-    """The blocks within a worker, one after the other. A single block is kept; of several only one is in memory at a time."""
+MATCHES = "row bigint, item_id string, doc_word bigint, item_word bigint, n_words bigint"
 
-    def __init__(self, cast: list):
-        self.cast = cast
 
-    def __iter__(self) -> Iterator[Block]:
-        for b in self.cast:
-            yield b.value
-            if len(self.cast) > 1:
-                b.__dict__.pop("_value", None)
+def _matches(candidates: DataFrame, benchmark: DataFrame, window: int, root: str, block_bytes: int) -> DataFrame:
+    """Longest matches of stored candidates (row, text), block by block."""
+    spark = candidates.sparkSession
+    paths = []
+    for block in blocks_of(benchmark, window, f"{root}/items", block_bytes=block_bytes):
+        cast = spark.sparkContext.broadcast(block)
 
+        def run(batches: Iterator[pa.RecordBatch], cast=cast) -> Iterator[pa.RecordBatch]:
+            names = pa.array(cast.value.names, pa.string())
+            for batch in slices(batches, 1):
+                doc, item, first, item_word, n = matches_of(cast.value, [words(t) for t in batch.column(1).to_pylist()])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc)), names.take(pa.array(item)), pa.array(first), pa.array(item_word), pa.array(n)], ["row", "item_id", "doc_word", "item_word", "n_words"])
 
-def _broadcast(docs: DataFrame, benchmark: DataFrame, window: int, block_bytes: int = BLOCK_BYTES) -> list:
-    bound_batches(docs.sparkSession)
-    return [docs.sparkSession.sparkContext.broadcast(b) for b in blocks_of(benchmark, window, block_bytes=block_bytes)]
+        paths.append(f"{root}/matches{len(paths)}")
+        save(candidates.mapInArrow(run, MATCHES), paths[-1])
+        cast.destroy()
+    return spark.read.schema(MATCHES).parquet(*paths)
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """One row per row of docs: doc_id, n_words, n_hit, n_items, items (listed ids, sorted), contaminated."""
-    cast = _broadcast(docs, benchmark, window, block_bytes)
+def _scanned(docs: DataFrame, benchmark: DataFrame, window: int, root: str) -> DataFrame:
+    """row, doc_id, n_words of all documents, with the texts of those that may hold a window."""
+    bound_batches(docs.sparkSession)
+    cast = docs.sparkSession.sparkContext.broadcast(Windows.of(benchmark, window, f"{root}/windows"))
     source = docs.select(F.col("doc_id"), text_or_empty().cast("binary").alias("text"))
     kind = source.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blocks = _Held(cast)
         for batch in slices(batches, 1):
-            sizes, hit, items = judge(blocks, batch.column(1).to_pylist())
-            schema = pa.schema([("doc_id", batch.schema.field(0).type), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items", pa.list_(pa.string())), ("contaminated", pa.bool_())])
-            yield arrow_rows({"doc_id": batch.column(0), "n_words": sizes, "n_hit": hit, "n_items": [len(x) for x in items], "items": [sorted(x) for x in items], "contaminated": hit > 0}, schema)
+            texts = batch.column(1).to_pylist()
+            n, may = cast.value.may_hit(texts)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array([t if m else None for t, m in zip(texts, may.tolist(), strict=True)], pa.binary())], ["doc_id", "n_words", "text"])
 
-    return source.mapInArrow(run, f"doc_id {kind}, n_words bigint, n_hit bigint, n_items bigint, items array<string>, contaminated boolean")
+    return save(source.mapInArrow(run, f"doc_id {kind}, n_words bigint, text binary").withColumn("row", F.monotonically_increasing_id()), f"{root}/scanned")
 
 
-def longest_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """One row per row of docs: doc_id, n_words, n_hit, n_items, items (listed ids, sorted), contaminated."""
+    root = workspace(docs.sparkSession, "decontamination")
+    scanned = _scanned(docs, benchmark, window, root)
+    found = _matches(scanned.where("text is not null").select("row", "text"), benchmark, window, root, block_bytes)
+    span = F.struct(F.col("doc_word").alias("first"), (F.col("doc_word") + F.col("n_words")).alias("last"))
+    by_row = found.groupBy(F.col("row").alias("of")).agg(F.array_sort(F.collect_set(span)).alias("spans"), F.array_sort(F.collect_set("item_id")).alias("items"))
+    start = F.struct(F.lit(0).cast("bigint").alias("last"), F.lit(0).cast("bigint").alias("n"))
+    covered = F.aggregate("spans", start, lambda a, s: F.struct(F.greatest(a["last"], s["last"]).alias("last"), (a["n"] + F.greatest(F.lit(0), s["last"] - F.greatest(a["last"], s["first"]))).alias("n")))["n"]
+    told = by_row.select("of", covered.alias("n_hit"), "items")
+    joined = scanned.drop("text").join(told, F.col("row") == F.col("of"), "left")
+    items = F.coalesce("items", F.array().cast("array<string>"))
+    return joined.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("bigint").alias("n_hit"), F.size(items).cast("bigint").alias("n_items"), items.alias("items"), F.col("n_hit").isNotNull().alias("contaminated"))
+
+
+def longest_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Maximal verbatim matches of at least a window: doc_id, item_id, doc_word, item_word, n_words."""
-    cast = _broadcast(docs, benchmark, window)
-    source = docs.select(F.col("doc_id"), text_or_empty().cast("binary").alias("text"))
-    kind = source.schema["doc_id"].dataType.simpleString()
-
-    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 1):
-            docs_words = [words(t) for t in batch.column(1).to_pylist()]
-            rows = [(d, b.names[i], *rest) for b in _Held(cast) for d, i, *rest in zip(*(x.tolist() for x in matches_of(b, docs_words)), strict=True)]
-            schema = pa.schema([("doc_id", batch.schema.field(0).type), ("item_id", pa.string()), ("doc_word", pa.int64()), ("item_word", pa.int64()), ("n_words", pa.int64())])
-            ids = batch.column(0).take(pa.array([x[0] for x in rows], pa.int64()))
-            yield arrow_rows({"doc_id": ids} | {n: [x[k] for x in rows] for k, n in enumerate(("item_id", "doc_word", "item_word", "n_words"), 1)}, schema)
-
-    return source.mapInArrow(go, f"doc_id {kind}, item_id string, doc_word bigint, item_word bigint, n_words bigint")
-
-
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The rows of docs that hold no window of any item, with all their columns."""
-    cast = _broadcast(docs, benchmark, window)
+    root = workspace(docs.sparkSession, "matches")
+    scanned = _scanned(docs, benchmark, window, root)
+    found = _matches(scanned.where("text is not null").select("row", "text"), benchmark, window, root, block_bytes)
+    return found.join(scanned.select("row", "doc_id"), "row").select("doc_id", "item_id", "doc_word", "item_word", "n_words")
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of docs that hold no window of any item, with all their columns. Only rows that may hold one are stored; the others are filtered as they are read."""
+    spark = docs.sparkSession
+    bound_batches(spark)
+    root = workspace(spark, "decontaminate")
+    cast = spark.sparkContext.broadcast(Windows.of(benchmark, window, f"{root}/windows"))
     at = docs.columns.index("text")
 
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blocks = _Held(cast)
-        for batch in slices(batches, at):
-            texts = [t.encode() if t else b"" for t in batch.column(at).to_pylist()]
-            yield batch.filter(pa.array(judge(blocks, texts)[1] == 0))
+    def rows(wanted: bool) -> DataFrame:
+        def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in slices(batches, at):
+                may = cast.value.may_hit([t.encode() if t else b"" for t in batch.column(at).to_pylist()])[1]
+                yield batch.filter(pa.array(may == wanted))
+
+        return docs.mapInArrow(pick, docs.schema)
 
-    return docs.mapInArrow(keep, docs.schema)
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("rest")
+    held = save(rows(True).select(whole, text_or_empty().cast("binary").alias("text")).withColumn("row", F.monotonically_increasing_id()), f"{root}/candidates")
+    dirty = _matches(held.select("row", "text"), benchmark, window, root, block_bytes).select("row").distinct()
+    clean = held.join(dirty, "row", "left_anti").select(*[F.col(f"rest.`{c}`").alias(c) for c in docs.columns])
+    return rows(False).unionByName(clean)
 
 
 def op8_decontamination(spark, sf_dir: str) -> DataFrame:

@@ -47,7 +47,7 @@ def test_rows_blocks_and_columns(spark):
     df = spark.createDataFrame([(i % 40, t, "w") for i, t in enumerate(docs)], "doc_id bigint, text string, n_words string")
     bench = spark.createDataFrame(items, "item_id bigint, text string")
     want = sorted((i % 40, *x) for i, x in enumerate(brute(docs, items)))
-    for size in (8 << 20, 100):
+    for size in (8 << 20, 600):
         got = sorted((r.doc_id, r.n_words, r.n_hit, r["items"]) for r in D.contamination(df, bench, block_bytes=size).collect())
         assert got == want
     kept = D.decontaminate(df, bench)
@@ -68,3 +68,27 @@ def test_very_long_text(spark):
     df = spark.createDataFrame([(1, "q " * 300000 + words)], "doc_id bigint, text string")
     r = D.contamination(df, spark.createDataFrame([(1, words)], "item_id bigint, text string")).first()
     assert (r.n_words, r.n_hit) == (300012, 12)
+
+
+def test_bitmap_of_windows_misses_none_and_passes_few(spark, tmp_path):
+    docs, items = cases(5)
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    seen = D.Windows.of(bench, 10, str(tmp_path / "w"))
+    n, may = seen.may_hit([(t or "").encode() for t in docs])
+    want = brute(docs, items)
+    assert n.tolist() == [w[0] for w in want] and all(m for m, w in zip(may, want, strict=True) if w[1])
+    rng = random.Random(1)
+    others = [" ".join(f"x{rng.randint(0, 10**6)}" for _ in range(300)).encode() for _ in range(300)]
+    assert seen.may_hit(others)[1].mean() < 0.02 and seen.may_hit([]) [1].tolist() == []
+
+
+def test_blocks_of_real_size(spark):
+    """Two blocks of 8 MB and one of 20 MB give the same; a driver that held them all would show in the blocks."""
+    rng = random.Random(3)
+    items = [(i, " ".join(f"w{rng.randint(0, 50_000)}" for _ in range(2_000))) for i in range(640)]
+    cut = lambda t, a, b: " ".join(t.split()[a:b])
+    docs = [(k, f"some text {cut(items[k * 10][1], k, k + 9 + k % 4)} and more {cut(items[-1 - k][1], 5, 17)}") for k in range(60)] + [(99, "clean text of no item " * 20)]
+    df, bench = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    got = [sorted(map(tuple, D.contamination(df, bench, block_bytes=size).select("doc_id", "n_words", "n_hit", "n_items").collect())) for size in (8 << 20, 20 << 20)]
+    assert got[0] == got[1] and [(d, h, i) for d, _, h, i in got[0]] == [(k, (9 + k % 4 if k % 4 else 0) + 12, 1 + (k % 4 > 0)) for k in range(60)] + [(99, 0, 0)]
+    assert [r.doc_id for r in D.decontaminate(df, bench).collect()] == [99]
