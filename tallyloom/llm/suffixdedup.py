@@ -204,31 +204,59 @@ def _occurrences(texts: DataFrame, shared, window: int, context: int, only=None,
     return texts.mapInArrow(run, "digest binary, start bigint, n bigint, segment binary, place bigint, key bigint")
 
 
-def _sorted_buckets(texts: DataFrame, shared, firsts, buckets: int, window: int, context: int) -> DataFrame:
-    """(segment, firsts, ends): the runs of repeated starts of each segment that has any."""
+def distinct_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[bytes, bytes]]:
+    """Segment -> part of each bucket, from rows (bucket, segment, part) in order of buckets. Further copies of a segment go as they come, so what is held is a bucket's distinct text, however many copies were sent."""
+    bucket, held = None, {}
+    for batch in slices(batches, 2):
+        for own, segment, part in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if own != bucket:
+                if held:
+                    yield held
+                bucket, held = own, {}
+            held.setdefault(segment, part)
+    if held:
+        yield held
+
+
+def _sorted_buckets(texts: DataFrame, shared, firsts, hot, buckets: int, window: int, context: int) -> DataFrame:
+    """(segment, firsts, ends): the runs of repeated starts of each segment that has any. Segments of hot minimizers aren't sent; `firsts` only spares sending copies."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for found in _suspects(batches, window, context, shared.value):
             names = np.array(found.column("segment").to_pylist(), object)
-            first = np.flatnonzero(firsts.value.has(found.column("place").to_numpy()))
+            wanted = firsts.value.has(found.column("place").to_numpy())
+            if hot is not None:
+                wanted &= ~hot.value.has(found.column("key").to_numpy())
+            first = np.flatnonzero(wanted)
             _, once = np.unique(names[first], return_index=True)
             sent = found.take(pa.array(first[once]))
             yield pa.RecordBatch.from_arrays([pa.array(sent.column("key").to_numpy().view(np.uint64) % np.uint64(buckets)).cast(pa.int64()), sent.column("segment"), sent.column("part")], ["bucket", "segment", "part"])
 
-    def sort(t: pa.Table) -> pa.Table:
-        parts = dict(zip(t.column("segment").to_pylist(), t.column("part").to_pylist(), strict=True))
-        out: dict = {"segment": [], "firsts": [], "ends": []}
-        for s, mask in zip(parts, repeated_starts(list(parts.values()), window), strict=True):
-            runs = runs_of(mask)
-            if len(runs):
-                out["segment"].append(s)
-                out["firsts"].append(runs[:, 0])
-                out["ends"].append(runs[:, 1])
+    def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ints = pa.list_(pa.int64())
-        return pa.table(out, schema=pa.schema([("segment", pa.binary()), ("firsts", ints), ("ends", ints)]))
+        for parts in distinct_parts(batches):
+            out: dict = {"segment": [], "firsts": [], "ends": []}
+            for s, mask in zip(parts, repeated_starts(list(parts.values()), window), strict=True):
+                runs = runs_of(mask)
+                if len(runs):
+                    out["segment"].append(s)
+                    out["firsts"].append(runs[:, 0])
+                    out["ends"].append(runs[:, 1])
+            yield arrow_rows(out, pa.schema([("segment", pa.binary()), ("firsts", ints), ("ends", ints)]))
 
     sent = texts.mapInArrow(send, "bucket bigint, segment binary, part binary")
-    return sent.groupBy("bucket").applyInArrow(sort, "segment binary, firsts array<bigint>, ends array<bigint>")
+    return sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(sort, "segment binary, firsts array<bigint>, ends array<bigint>")
+
+
+def _without(rows: DataFrame, hot) -> DataFrame:
+    """rows (with a key) whose minimizer isn't hot."""
+    at = rows.columns.index("key")
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(~hot.value.has(batch.column(at).to_numpy())))
+
+    return rows.mapInArrow(keep, rows.schema)
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, context: int = CONTEXT, hot_bytes: int = HOT_BYTES) -> DataFrame:
@@ -245,15 +273,20 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     places = save(_occurrences(texts, shared, window, context), f"{root}/places")
     segment_of = lambda rows: rows.groupBy("segment").agg(F.min("place").alias("low"), F.max("place").alias("high"), F.first("n").alias("n"), F.first("key").alias("key"))
     segment = save(segment_of(places), f"{root}/segments")
-    hot = save(segment.groupBy("key").agg(F.sum(F.col("n") + window).alias("bytes")).where(F.col("bytes") > hot_bytes).select("key"), f"{root}/hot")
-    if not hot.isEmpty():
-        cut_up = save(_occurrences(texts, shared, window, context, spark.sparkContext.broadcast(Bitmap.of(hot)), single=True).join(hot, "key", "left_semi").select(places.columns), f"{root}/single")
-        places = places.join(hot, "key", "left_anti").select(places.columns).unionByName(cut_up)
-        segment = segment.join(hot, "key", "left_anti").unionByName(segment_of(cut_up).select(segment.columns))
-        segment = save(segment, f"{root}/all-segments")
-    firsts = spark.sparkContext.broadcast(Bitmap.of(segment.join(hot, "key", "left_anti").select("low")))
+    heavy = save(segment.groupBy("key").agg(F.sum(F.col("n") + window).alias("bytes")).where(F.col("bytes") > hot_bytes).select("key"), f"{root}/hot")
+    hot = None
+    if not heavy.isEmpty():
+        # hot is what this bitmap holds, here and wherever it is asked: a minimizer that only shares a bit is cut up as well, which is as right
+        hot = spark.sparkContext.broadcast(Bitmap.of(heavy))
+        cut_up = save(_occurrences(texts, shared, window, context, hot, single=True).select(places.columns), f"{root}/single")
+        places = _without(places, hot).unionByName(cut_up)
+        plain = save(_without(segment, hot), f"{root}/plain-segments")
+        segment = plain.unionByName(save(segment_of(cut_up).select(segment.columns), f"{root}/single-segments"))
+    else:
+        plain = segment
+    firsts = spark.sparkContext.broadcast(Bitmap.of(plain.select("low")))
     buckets = max(1, -(-total // BUCKET_BYTES))
-    alone = _sorted_buckets(texts, shared, firsts, buckets, window, context)
+    alone = _sorted_buckets(texts, shared, firsts, hot, buckets, window, context)
     whole = segment.where("low <> high").select("segment", F.array(F.lit(0).cast("bigint")).alias("firsts"), F.array("n").alias("ends"))
     repeats = save(alone.join(whole.select("segment"), "segment", "left_anti").unionByName(whole), f"{root}/repeats")
 

@@ -87,6 +87,37 @@ def test_hot_minimizers(spark):
         assert got == want, hot_bytes
 
 
+def test_full_filters_change_no_row_and_no_bucket(spark, monkeypatch):
+    rows = make(3, 60)
+    rng = random.Random(4)
+    edge = "".join(rng.choice("pqrstuv") for _ in range(70))
+    rows += [(100 + i, "".join(rng.choice("abc") for _ in range(rng.randint(0, 90))) + edge + "".join(rng.choice("xyz") for _ in range(50))) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    want, of = Counter(brute(rows, 60)), S.Bitmap.of
+    full = lambda b: type(b)(b.bits, np.full_like(b.packed, 0xFF))
+    for name in ("low", "key"):  # the filter of copies to send; those of shared and of hot minimizers
+        monkeypatch.setattr(S.Bitmap, "of", staticmethod(lambda values, name=name: full(of(values)) if values.columns[0] == name else of(values)))
+        for hot_bytes in (2000, S.HOT_BYTES):
+            got = Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in S.remove_repeats(df, window=60, context=20, hot_bytes=hot_bytes).collect())
+            assert got == want, (name, hot_bytes)
+
+
+def test_buckets_hold_distinct_text_however_many_copies_come():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    part = lambda k: random.Random(k).randbytes(3000)
+    sent = [(b, s) for b in range(3) for s in [b * 10 + k % 4 for k in range(8_000)]]
+    batches = (pa.record_batch([pa.array([b for b, _ in sent[i : i + 500]], pa.int64()), pa.array([b"%d" % s for _, s in sent[i : i + 500]]), pa.array([part(s) for _, s in sent[i : i + 500]])], ["bucket", "segment", "part"]) for i in range(0, len(sent), 500))
+    tracemalloc.start()
+    got = list(S.distinct_parts(batches))
+    _, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert got == [{b"%d" % s: part(s) for s in range(b * 10, b * 10 + 4)} for b in range(3)]
+    assert peak < 12 << 20, peak  # 72 MB came by
+
+
 def test_memory_of_a_long_text_is_bounded():
     import tracemalloc
 
