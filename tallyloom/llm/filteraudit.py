@@ -1,6 +1,6 @@
 """Filter interaction audit: what each filter of a set removes in every order that the filters can be applied in.
 
-Duplicates come from partition refinement. Rows are split by their length in code points, then by the hash of one block of the text after another (the first 64 code points, then blocks eight times as long as all before); after every split, classes of one row are dropped. Rows of a class have equally long texts, so a class runs out of blocks as a whole. What is left after the last block is compared as whole texts: the smallest and the largest text of each class, which pre-aggregates before the shuffle; should two different texts ever share all hashes, the class's rows are grouped by the text itself. Every row whose id isn't the smallest of its text is marked. Hashes of all blocks come from the one scan that also evaluates the other filters, so refinement shuffles some hundred bytes a row, less each round; texts are shuffled only if their class survives. Classes of any size are counted map-side and joined as they lie, so a hot class is split like any skewed join.
+Duplicates come from partition refinement. Rows are split by their length in code points, then by the hash of one block of its bytes after another (the first 64 bytes with their number, then blocks that reach eight times as far); after every split, classes of one row are dropped. Rows of a class have equally many bytes after the first block, so a class runs out of blocks as a whole. What is left after the last block is compared as whole texts: the smallest and the largest text of each class, which pre-aggregates before the shuffle; should two different texts ever share all hashes, the class's rows are grouped by the text itself. Every row whose id isn't the smallest of its text is marked. Hashes of all blocks come from the one scan that also evaluates the other filters, so refinement shuffles some hundred bytes a row, less each round; texts are shuffled only if their class survives. Classes of any size are counted map-side and joined as they lie, so a hot class is split like any skewed join.
 
 Filters are then bits of a mask. Rows are counted by part and mask, at most 2 ** filters a part; what a filter removes depends only on which filters came before it, so the counts are summed once for each filter and set of earlier filters and dealt out to the orders.
 
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from tallyloom.llm.common import drop, save, table, text_or_empty, workspace
 from tallyloom.llm.runs import bits_for, filter_of, may_hold
 
-#: Code points of the first block; all blocks up to one are GROWTH times as long as all blocks before.
+#: Bytes of the first block; each other one ends GROWTH times as far in as the one before.
 BLOCK, GROWTH = 64, 8
 WORDS = "[ \\t\\n\\x0B\\f\\r]+"
 COUNTS = ["kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost", "shapley"]
@@ -41,9 +41,11 @@ DUPLICATE = "E"
 
 
 def block_hashes(text: Column) -> Column:
-    """Hashes of the blocks of a text, in order; an empty text has one."""
-    ends = F.filter(F.array(*[F.lit(BLOCK * GROWTH**k).cast("bigint") for k in range(11)]), lambda end: (end == BLOCK) | (end < GROWTH * F.length(text)))
-    return F.transform(ends, lambda end: F.xxhash64(F.when(end == BLOCK, F.substring(text, F.lit(1), F.lit(BLOCK))).otherwise(F.substring(text, (end / GROWTH + 1).cast("int"), (end - end / GROWTH).cast("int")))))
+    """Hashes of the blocks of a text's UTF-8 bytes, in order, the first with their number; an empty text has one."""
+    raw, size = text.cast("binary"), F.octet_length(text)
+    ends = F.filter(F.array(*[F.lit(BLOCK * GROWTH**k).cast("bigint") for k in range(11)]), lambda end: (end == BLOCK) | (end < GROWTH * size))
+    later = lambda end: F.xxhash64(F.substring(raw, (end / GROWTH + 1).cast("int"), (end - end / GROWTH).cast("int")))
+    return F.transform(ends, lambda end: F.when(end == BLOCK, F.xxhash64(F.substring(raw, 1, BLOCK), size)).otherwise(later(end)))
 
 
 def chained(start: Column, hashes: Column) -> Column:
