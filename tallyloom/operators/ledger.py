@@ -123,9 +123,66 @@ def suggestions(repeated_rows: DataFrame) -> DataFrame:
 
 
 def insights(calls: DataFrame, now: int, days: int = 7, top: int = 10) -> dict[str, DataFrame]:
-    """The four parts of the insights report over one filtered base."""
-    often = repeated(calls, now, days, top)
-    return {"repeated": often, "failing": failing(calls, now, days, top), "passthrough": passthrough_cost(calls, now, days, top), "suggestions": suggestions(often)}
+    """The four parts of the insights report, all from one aggregation of the calls by command."""
+    failed, through = (F.coalesce(test, F.lit(False)) for test in (F.col("exit_code") != 0, F.col("passthrough") == 1))
+    sums = recent(calls, now, days).groupBy("command_text").agg(
+        F.count(F.lit(1)).alias("n"),
+        _sum(saved_bytes()).alias("saved"),
+        F.count_if(failed).alias("failures"),
+        F.max(F.when(failed, F.col("exit_code"))).alias("last_exit"),
+        F.count_if(through).alias("unchanged"),
+        F.sum(F.when(through, F.col("bytes_before"))).alias("raw"),
+    )
+    often = _top(sums.select("command_text", "n", "saved"), top, F.desc("n"), F.desc("saved"))
+    return {
+        "repeated": often,
+        "failing": _top(sums.where("failures > 0").select("command_text", F.col("failures").alias("n"), "last_exit"), top, F.desc("n"), F.desc("last_exit")),
+        "passthrough": _top(sums.where("unchanged > 0").select("command_text", F.col("unchanged").alias("n"), "raw"), top, F.desc("raw"), F.desc("n")),
+        "suggestions": suggestions(often),
+    }
+
+
+#: How each part of the insights is printed and ordered, and its names as JSON.
+INSIGHTS = {
+    "repeated": ("  %d calls  %d bytes saved  %s", ["n", "saved", "command_text"], ["n", "saved"], {"command_text": "command", "n": "calls", "saved": "saved_bytes"}),
+    "failing": ("  %d failures  last exit %d  %s", ["n", "last_exit", "command_text"], ["n", "last_exit"], {"command_text": "command", "n": "failures", "last_exit": "last_exit"}),
+    "passthrough": ("  %d calls  %d raw bytes  %s", ["n", "raw", "command_text"], ["raw", "n"], {"command_text": "command", "n": "calls", "raw": "raw_bytes"}),
+}
+
+
+def _insight_arrays(calls: DataFrame, now: int, days: int, top: int) -> DataFrame:
+    """One row with the four parts as arrays, each in its order and as long as the report shows."""
+    parts = insights(calls, now, days, top)
+    out = parts["suggestions"].agg(F.array_sort(F.collect_list("suggestion")).alias("suggestions"))
+    for name, (_, columns, order, _) in INSIGHTS.items():
+        key = [(-F.col(c)).alias(f"k{k}") for k, c in enumerate(order)]
+        own = parts[name].agg(F.array_sort(F.collect_list(F.struct(*key, "command_text", *[c for c in columns if c != "command_text"]))).alias(name))
+        out = out.withColumn("one", F.lit(1)).join(F.broadcast(own.withColumn("one", F.lit(1))), "one").drop("one")  # each side is a single row
+    return out
+
+
+def insights_json(calls: DataFrame, now: int, days: int = 7, top: int = 10) -> DataFrame:
+    """The insights as one JSON object, in one row."""
+    row = _insight_arrays(calls, now, days, top)
+
+    def renamed(names: dict[str, str]):
+        return lambda r: F.struct(*[r[c].alias(n) for c, n in names.items()])
+
+    shown = [F.transform(name, renamed(names)).alias(name) for name, (_, _, _, names) in INSIGHTS.items()]
+    return row.select(F.to_json(F.struct(F.lit(days).alias("days"), F.lit(top).alias("top"), *shown, "suggestions")).alias("value"))
+
+
+def insights_text(calls: DataFrame, now: int, days: int = 7, top: int = 10) -> DataFrame:
+    """(pos, line): the insights as they are printed. A part without rows says so."""
+    row = _insight_arrays(calls, now, days, top)
+
+    def printed(label: str, columns: list[str]):
+        return lambda r: F.format_string(label, *[r[c] for c in columns])
+
+    lines = {name: F.transform(name, printed(label, columns)) for name, (label, columns, _, _) in INSIGHTS.items()}
+    lines["suggestions"] = F.transform("suggestions", lambda s: F.concat(F.lit("  "), s))
+    parts = [F.concat(F.array(F.lit(f"{name}:")), F.when(F.size(of) > 0, of).otherwise(F.array(F.lit("  none")))) for name, of in lines.items()]
+    return row.select(F.posexplode(F.concat(*parts)).alias("pos", "line"))
 
 
 def total_report(calls: DataFrame, strategies: int = 5) -> DataFrame:

@@ -108,6 +108,8 @@ QUERIES = {
     "text_breakdown": _ledger(lambda calls: ledger.text_report(calls, "breakdown")),
     "text_daily": _ledger(lambda calls: ledger.text_report(calls, "daily")),
     "text_graph": _ledger(lambda calls: ledger.text_report(calls, "graph")),
+    "insights_text": _recent(ledger.insights_text),
+    "insights_json": _recent(ledger.insights_json),
 }
 
 _CALLS = f"with calls as ({derived.CALLS_SQL}), "
@@ -204,5 +206,25 @@ ORACLE_SQL |= {
       union all {_text("top_calls", 2, "printf('top calls: %s %d', category, calls)", "calls desc, category")}
       union all select * from ({_text("strategy_breakdown", 3, "printf('top strategy: %s %d bytes %.1f%%', strategy, saved, percent)", "saved desc, strategy")}) where pos < 3""",
 }
+_PARTS = f"""{_RECENT},
+  repeated as (select command_text as command, count(*) as calls, cast(sum({_SAVED}) as bigint) as saved_bytes from recent group by 1 order by 2 desc, 3 desc, 1 limit 10),
+  failing as (select command_text as command, count(*) as failures, max(exit_code) as last_exit from recent where exit_code <> 0 group by 1 order by 2 desc, 3 desc, 1 limit 10),
+  through as (select command_text as command, count(*) as calls, cast(sum(bytes_before) as bigint) as raw_bytes from recent where passthrough = 1 group by 1 order by 3 desc, 2 desc, 1 limit 10),
+  w as (select command as t, calls as n, string_split(command, ' ') as words from repeated),
+  hints as (select '{ledger.HINT_LOG}' || t as s from w where t like 'git log%' and len(list_filter(words, lambda x: x = '-1' or starts_with(x, '-n') or starts_with(x, '--max-count'))) = 0
+    union select '{ledger.HINT_FIND}' || t from w where t like 'find . -name%' and not contains(t, '-maxdepth')
+    union select 'файл читается ' || cast(sum(n) as varchar) || ' раз: рассмотрите однократное чтение — ' || words[-1] from w where t like 'cat %' and len(words) >= 2 group by words[-1] having sum(n) >= 3)"""
+_SHOWN = [
+    ("repeated", "repeated", "calls desc, saved_bytes desc, command", "'  ' || calls || ' calls  ' || saved_bytes || ' bytes saved  ' || command"),
+    ("failing", "failing", "failures desc, last_exit desc, command", "'  ' || failures || ' failures  last exit ' || last_exit || '  ' || command"),
+    ("passthrough", "through", "raw_bytes desc, calls desc, command", "'  ' || calls || ' calls  ' || raw_bytes || ' raw bytes  ' || command"),
+    ("suggestions", "hints", "s", "'  ' || s"),
+]
+_OBJECT = ", ".join(f"'{name}', (select coalesce(to_json(list({'s' if name == 'suggestions' else 'x'} order by {order})), '[]'::json) from {source} x)" for name, source, order, _ in _SHOWN)
+ORACLE_SQL |= {
+    "insights_text": f"""{_PARTS}, l as ({" union all ".join(f"select {k} as part, row_number() over (order by {order}) as r, {line} as line from {source} union all select {k}, 0, '{name}:' union all select {k}, 1, '  none' where not exists (from {source})" for k, (name, source, order, line) in enumerate(_SHOWN))})
+      select cast(row_number() over (order by part, r) - 1 as int) as pos, line from l""",
+    "insights_json": f"{_PARTS} select cast(json_object('days', 7, 'top', 10, {_OBJECT}) as varchar) as value",
+}
 QUERIES |= ordering.QUERIES | reports.QUERIES | routing.QUERIES | streams.QUERIES
 ORACLE_SQL |= ordering.ORACLE_SQL | reports.ORACLE_SQL | routing.ORACLE_SQL | streams.ORACLE_SQL

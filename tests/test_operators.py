@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from tallyloom.operators import accounting, ledger, lines, route, sessions
@@ -205,3 +206,27 @@ def test_settings_and_retention_of_days(spark, tmp_path):
     assert rows(ledger.status(schema.migrate(left))) == [(2, T1 - 90 * 86400, T1)]
     sinks.clear(spark, ledger_path)
     assert schema.read_ledger(spark, ledger_path).count() == 0
+
+
+def test_insights_in_text_and_json(spark):
+    import json
+
+    now, old = T1, T1 - 8 * 86400
+    some = [("git log x", 9, 1, 0, now, 0), ("git log x", 9, 1, 0, now, 0), ("cat a", 8, 8, 0, now, 1), ("pytest", 5, 9, 3, now, 0), ("old", 9, 1, 2, old, 1), ("", 9, 1, 2, now, 1)]
+    df = calls(spark, [("c", before, after, code, at, through, "", command) for command, before, after, code, at, through in some])
+    value = json.loads(ledger.insights_json(df, now).first().value)
+    assert value == {
+        "days": 7,
+        "top": 10,
+        "repeated": [{"command": "git log x", "calls": 2, "saved_bytes": 16}, {"command": "cat a", "calls": 1, "saved_bytes": 0}, {"command": "pytest", "calls": 1, "saved_bytes": 0}],
+        "failing": [{"command": "pytest", "failures": 1, "last_exit": 3}],
+        "passthrough": [{"command": "cat a", "calls": 1, "raw_bytes": 8}],
+        "suggestions": [ledger.HINT_LOG + "git log x"],
+    }
+    lines = [r.line for r in ledger.insights_text(df, now).orderBy("pos").collect()]
+    assert lines == ["repeated:", "  2 calls  16 bytes saved  git log x", "  1 calls  0 bytes saved  cat a", "  1 calls  0 bytes saved  pytest", "failing:", "  1 failures  last exit 3  pytest", "passthrough:", "  1 calls  8 raw bytes  cat a", "suggestions:", "  " + ledger.HINT_LOG + "git log x"]
+    none = [r.line for r in ledger.insights_text(df.limit(0), now).orderBy("pos").collect()]
+    assert none == ["repeated:", "  none", "failing:", "  none", "passthrough:", "  none", "suggestions:", "  none"]
+    assert json.loads(ledger.insights_json(df.limit(0), now, top=3).first().value)["failing"] == []
+    with pytest.raises(ValueError):
+        ledger.insights_json(df, now, top=0)
