@@ -9,7 +9,7 @@ from tallyloom.functions import text as X
 from tallyloom.functions.arrays import let
 from tallyloom.functions.rules import apply_rules
 from tallyloom.operators import accounting, ledger, lines, route, sessions
-from tallyloom.plans import ordering, reports, routing, streams
+from tallyloom.plans import ordering, reports, routing, streams, texts
 from tallyloom.sources import derived, sinks
 
 DAY = 86400
@@ -226,5 +226,5 @@ ORACLE_SQL |= {
       select cast(row_number() over (order by part, r) - 1 as int) as pos, line from l""",
     "insights_json": f"{_PARTS} select cast(json_object('days', 7, 'top', 10, {_OBJECT}) as varchar) as value",
 }
-QUERIES |= ordering.QUERIES | reports.QUERIES | routing.QUERIES | streams.QUERIES
-ORACLE_SQL |= ordering.ORACLE_SQL | reports.ORACLE_SQL | routing.ORACLE_SQL | streams.ORACLE_SQL
+QUERIES |= ordering.QUERIES | texts.QUERIES | reports.QUERIES | routing.QUERIES | streams.QUERIES
+ORACLE_SQL |= ordering.ORACLE_SQL | texts.ORACLE_SQL | reports.ORACLE_SQL | routing.ORACLE_SQL | streams.ORACLE_SQL
