@@ -116,7 +116,7 @@ class Block:
 def window_keys(texts: list[bytes], n: int, hashed: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of n consecutive words within a text, and the text's number. hashed: what `hashed_words` gives."""
     words_, first = hashed
-    keys = mix(_lead_keys(words_, n) ^ (np.uint64(n) * MULT))
+    keys = mix(_lead_keys(words_, n) ^ np.uint64(n * int(MULT) % (1 << 64)))
     at = np.arange(len(keys))
     of = np.searchsorted(first, at, "right") - 1
     whole = at + n <= first[of + 1] if len(keys) else np.zeros(0, bool)

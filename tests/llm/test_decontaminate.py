@@ -82,13 +82,13 @@ def test_bitmap_of_windows_misses_none_and_passes_few(spark, tmp_path):
     assert seen.may_hit(others)[1].mean() < 0.02 and seen.may_hit([]) [1].tolist() == []
 
 
-def test_blocks_of_real_size(spark):
-    """Two blocks of 8 MB and one of 20 MB give the same; a driver that held them all would show in the blocks."""
+def test_one_block_and_several(spark):
+    """A benchmark of 1 MB in one block of real size and in several smaller ones."""
     rng = random.Random(3)
-    items = [(i, " ".join(f"w{rng.randint(0, 50_000)}" for _ in range(2_000))) for i in range(640)]
+    items = [(i, " ".join(f"w{rng.randint(0, 50_000)}" for _ in range(2_000))) for i in range(80)]
     cut = lambda t, a, b: " ".join(t.split()[a:b])
-    docs = [(k, f"some text {cut(items[k * 10][1], k, k + 9 + k % 4)} and more {cut(items[-1 - k][1], 5, 17)}") for k in range(60)] + [(99, "clean text of no item " * 20)]
+    docs = [(k, f"some text {cut(items[k][1], k, k + 9 + k % 4)} and more {cut(items[-1 - k][1], 105, 117)}") for k in range(60)] + [(99, "clean text of no item " * 20)]
     df, bench = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
-    got = [sorted(map(tuple, D.contamination(df, bench, block_bytes=size).select("doc_id", "n_words", "n_hit", "n_items").collect())) for size in (8 << 20, 20 << 20)]
+    got = [sorted(map(tuple, D.contamination(df, bench, block_bytes=size).select("doc_id", "n_words", "n_hit", "n_items").collect())) for size in (D.BLOCK_BYTES, 1 << 18)]
     assert got[0] == got[1] and [(d, h, i) for d, _, h, i in got[0]] == [(k, (9 + k % 4 if k % 4 else 0) + 12, 1 + (k % 4 > 0)) for k in range(60)] + [(99, 0, 0)]
     assert [r.doc_id for r in D.decontaminate(df, bench).collect()] == [99]
