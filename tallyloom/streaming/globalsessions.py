@@ -16,7 +16,12 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tallyloom.operators.sessions import GAP
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Settings of the state's stores: of a kind that keeps timers, with changes written instead of whole snapshots, and few old batches kept.
+STORES = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.minBatchesToRetain": "2",
+}
 ISLANDS = "first array<bigint>, last array<bigint>, calls array<bigint>, adopted array<bigint>"
 FIELDS = ("first", "last", "calls", "adopted")
 SHARES = 8
@@ -106,7 +111,8 @@ class Stitcher(_Islands):
 def session_spans(calls: DataFrame, gap: int = GAP, late: str = "1 hour", width: int | None = None, shares: int = SHARES) -> DataFrame:
     """first, last, calls and adopted of each closed session of a stream of calls, as operators.sessions.spans has them."""
     spark = calls.sparkSession
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    for name, value in STORES.items():
+        spark.conf.set(name, value)
     width = width or max(3600, 2 * gap)
     at = F.timestamp_seconds("timestamp")
     rows = calls.where("timestamp is not null").select(
