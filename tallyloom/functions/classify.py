@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import json
+import re
 import shlex
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -66,6 +67,11 @@ def may_rewrite(t: Column) -> Column:
     return (ok | branch | ls | find | tail | sort | checks | build) & ~writes_file
 
 
+def plain(command: str, prefix: str = PREFIX) -> bool:
+    """The cheap tests of `candidate`, for commands that Python has read."""
+    return 0 < len(command) <= MOST_CHARS and not command.startswith(prefix) and re.search(FORBIDDEN, command) is None
+
+
 def candidate(command: Column, prefix: str = PREFIX) -> Column:
     """The command if it passes the cheap tests, else null; only these are tokenized."""
     plain = (F.length(command) > 0) & (F.length(command) <= MOST_CHARS) & ~command.startswith(prefix) & ~command.rlike(FORBIDDEN)
@@ -91,25 +97,36 @@ def _message(text: str | None) -> dict:
     return data if asks and isinstance(data["tool_input"].get("command"), str) else {}
 
 
-@F.udf(T.StringType(), useArrow=True)
-@or_null
-def _command(text: str | None) -> str | None:
-    return _message(text).get("tool_input", {}).get("command")
+ASKED = T.StructType([T.StructField("tokens", T.ArrayType(T.StringType())), T.StructField("answer", T.StringType())])
+
 
+def _text(token: str) -> str:
+    """The token without halves of code points, which JSON may name and Arrow refuses; no listed word has any."""
+    return token.encode("utf-8", "replace").decode()
 
-@F.udf(T.StringType(), useArrow=True)
+
+@F.udf(ASKED, useArrow=True)
 @or_null
-def _answer(text: str | None, command: str | None, context: str) -> str | None:
-    if command is None:
+def _asked(text: str | None, prefix: str, context: str) -> dict | None:
+    """The tokens of the command that a message asks for, and the answer that puts it behind the prefix; null if the cheap tests reject it."""
+    message = _message(text)
+    if not message or not plain(message["tool_input"]["command"], prefix):
         return None
-    output = {"hookEventName": "PreToolUse", "permissionDecision": "allow", "updatedInput": _message(text)["tool_input"] | {"command": command}, "additionalContext": context}
-    return json.dumps({"hookSpecificOutput": output})
+    command = message["tool_input"]["command"]
+    output = {"hookEventName": "PreToolUse", "permissionDecision": "allow", "updatedInput": message["tool_input"] | {"command": prefix + command}, "additionalContext": context}
+    return {"tokens": [_text(t) for t in shlex.split(command)], "answer": json.dumps({"hookSpecificOutput": output})}
 
 
 def hook_answer(message: Column, prefix: str = PREFIX, context: str = HOOK_CONTEXT) -> Column:
-    """The answer to an agent's JSON message, or null. Keys of the tool's input are open, so JSON is read and written in Arrow UDFs."""
-    message = readable(message)
-    return _answer(message, rewrite(_command(message), prefix), F.lit(context))
+    """The answer to an agent's JSON message, or null. Keys of the tool's input are open, so JSON is read and written in Python: all of it in one Arrow UDF, as each further one that needs another's result takes a worker more for every running task. To drop the nulls, explode (`answers`): a filter would be pushed below and hold a copy of the UDF."""
+    asked = _asked(readable(message), F.lit(prefix), F.lit(context))
+    return F.when((F.size(asked["tokens"]) > 0) & may_rewrite(asked["tokens"]), asked["answer"])
+
+
+def answers(messages: DataFrame, message: Column, prefix: str = PREFIX, context: str = HOOK_CONTEXT, name: str = "answer") -> DataFrame:
+    """The rows of messages that are answered, with their answers."""
+    answer = hook_answer(message, prefix, context)
+    return messages.select("*", F.explode(F.when(answer.isNotNull(), F.array(answer))).alias(name))
 
 
 def detect_runner(args: Column) -> Column:

@@ -69,8 +69,7 @@ def hook_answers(spark: SparkSession, sf: str) -> DataFrame:
     """Answers to agents' messages that ask for the calls' commands to be run; every fifth message isn't for a shell."""
     tool = F.when(F.col("event_id") % 5 == 0, "Read").otherwise("Bash")
     message = F.to_json(F.struct(tool.alias("tool_name"), F.struct(F.col("command_text").alias("command"), F.col("event_id").alias("n")).alias("tool_input")))
-    rows = derived.calls(spark, sf).where("command_text <> ''").select("event_id", C.hook_answer(message).alias("answer"))
-    return rows.where("answer is not null")
+    return C.answers(derived.calls(spark, sf).where("command_text <> ''"), message).select("event_id", "answer")
 
 
 def json_redacted(spark: SparkSession, sf: str) -> DataFrame:
