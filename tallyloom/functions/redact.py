@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyloom.functions.guard import or_null, readable
+from tallyloom.functions.rowwise import row_udf
 from tallyloom.functions.text import join_lines, lines_of, run_lines
 
 #: What a line or key that names a secret contains, in lower case.
@@ -40,7 +41,7 @@ def _pruned(value):
     return [_pruned(v) for v in value] if isinstance(value, list) else value
 
 
-@F.udf(T.StringType(), useArrow=True)
+@row_udf(T.StringType())
 @or_null
 def _redact_json(text: str | None) -> str | None:
     """Null for what isn't JSON, or is nested deeper than can be followed."""

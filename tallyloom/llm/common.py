@@ -10,22 +10,14 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyloom.functions.rowwise import SLICE_BYTES, bound_batches
 from tallyloom.sources import store
 
 #: The ASCII white space of the contracts, [\x20\x09-\x0D].
 BLANKS = " \t\n\x0b\x0c\r"
-#: Bytes of one column that a Python worker turns into objects of its own at a time (one row may be longer).
-SLICE_BYTES = 2 << 20
-BATCH_BYTES, BATCH_SETTING = 4 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def bound_batches(spark: SparkSession) -> None:
-    """Arrow batches of at most BATCH_BYTES (or one row) in this session, unless it has a bound of its own: executors hold several at a time."""
-    if spark.conf.get(BATCH_SETTING, None) in (None, "64MB"):
-        spark.conf.set(BATCH_SETTING, f"{BATCH_BYTES}b")
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

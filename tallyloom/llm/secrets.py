@@ -16,7 +16,9 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from tallyloom.functions.rowwise import bound_batches, row_udf
 from tallyloom.llm.common import arrow_rows, text_or_empty
 
 KINDS = ("assign", "access", "hex", "github", "npm", "wif")
@@ -166,7 +168,9 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: str = "[secret]") -> DataFrame:
     """The rows of docs with every span of the text replaced by a mark; null texts stay null."""
 
-    @F.udf("string", useArrow=True)
+    bound_batches(docs.sparkSession)
+
+    @row_udf(T.StringType())
     def cut(text: str | None) -> str | None:
         if text is None:
             return None

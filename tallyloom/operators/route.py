@@ -15,6 +15,7 @@ from tallyloom.functions import outline as O
 from tallyloom.functions import redact as D
 from tallyloom.functions import reports as R
 from tallyloom.functions import text as X
+from tallyloom.functions.rowwise import bound_batches
 from tallyloom.functions.rules import apply_rules
 from tallyloom.operators.lines import apart
 from tallyloom.sources.schema import file_ext
@@ -187,6 +188,7 @@ RULED = ("test", "linter", "package", "infra")
 
 def compact(captures: DataFrame, rules: list[dict] | None = None, bypass: list[str] | None = None, ultra: bool = False, failures_only: bool = False, tools: list[str] | None = None) -> DataFrame:
     """captures with strategy, output, passthrough and recorded. Optional columns branch and revision hold what git says of the work tree; directories (array of strings) the names among a listed directory's entries that are directories. Where it is null, as for a listed file, a bare ls passes through; tree (lines.with_trees) the text of the directory's tree, without which `tree` passes through. Trees are shown and not recorded. ultra: the shortest listings; failures_only: test reports without their counts. Commands that failed are shown and not recorded, and so are captures that their parser can't work on (numbers or nesting beyond all measure, bytes that are no UTF-8): they come out raw. An input column with the name of one that is made here comes back as input_<name>. tools: the tools that occur, if they are known; captures of others pass through."""
+    bound_batches(captures.sparkSession)
     rules = rules or []
     captures, _ = apart(captures, ("strategy", "output", "passthrough", "recorded", "way", "compacted"))
     rows = captures

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyloom.functions import classify as C
+from tallyloom.functions.rowwise import bound_batches
 from tallyloom.operators import accounting, lines, route, ruletable
 from tallyloom.plans.reports import K, W
 from tallyloom.sources import derived, sinks
@@ -28,6 +29,7 @@ def _quoted(text: str) -> str:
 
 def classified(spark, sf: str):
     """Each event's command: every third from the ledger, the others from the two lists."""
+    bound_batches(spark)
     commands = F.array(*[F.lit(c) for c in ACCEPTED + REJECTED])
     own = F.get(commands, (F.col("event_id") % len(ACCEPTED + REJECTED)).cast("int"))
     calls = derived.calls(spark, sf).select("event_id", F.when(F.col("event_id") % 3 == 0, F.col("command_text")).otherwise(own).alias("command")).where("command <> ''")

@@ -9,6 +9,7 @@ from tallyloom.functions import classify as C
 from tallyloom.functions import outline as O
 from tallyloom.functions import redact as D
 from tallyloom.functions import text as X
+from tallyloom.functions.rowwise import bound_batches
 from tallyloom.sources import derived
 
 
@@ -56,6 +57,7 @@ def _as_source(text: str, parts: list[str]):
 
 def outlines(spark: SparkSession, sf: str) -> DataFrame:
     """Signatures of texts as Python and as Rust files."""
+    bound_batches(spark)
     python, rust = O.outline(_as_source("text", PYTHON), F.lit(".py")), O.outline(_as_source("text", RUST), F.lit(".rs"))
     return _docs(spark, sf).select("doc_id", _digest(python, "python"), _digest(rust, "rust"))
 
@@ -74,6 +76,7 @@ def hook_answers(spark: SparkSession, sf: str) -> DataFrame:
 
 def json_redacted(spark: SparkSession, sf: str) -> DataFrame:
     """JSON with secret keys at two depths, from the columns of documents."""
+    bound_batches(spark)
     docs = spark.read.parquet(f"{sf}/documents.parquet").where("lang is not null")
     inner = F.struct(F.col("doc_id").alias("id"), F.lit("x").alias("AccessKey"), F.col("lang").alias("lang"))
     value = F.to_json(F.struct(F.col("lang").alias("z"), F.lit("y").alias("my_password"), F.array(inner).alias("list"), inner.alias("Credentials")))
