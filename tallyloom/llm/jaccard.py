@@ -32,6 +32,8 @@ SALTS = 16
 SHARE = 2_000
 #: Elements of the sets of one block of the last step; their sketches take at most a byte each.
 BLOCK = 1 << 20
+#: Bytes of texts whose sets and signatures a worker makes at a time: they take some 15 times as much, and a worker keeps what it once took.
+SLICE = 1 << 19
 #: Rank limit of a set all of whose signatures count.
 ALL = 1 << 30
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
@@ -153,7 +155,7 @@ class Bitmap:
 
 
 def _sets(batches: Iterator[pa.RecordBatch], column: int, size: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, list[bytes]]]:
-    for batch in slices(batches, column):
+    for batch in slices(batches, column, SLICE):
         elements, bounds = shingle_sets(batch.column(column).to_pylist(), size)
         yield batch, elements, bounds, [digest_of(elements[a:b]) for a, b in zip(bounds, bounds[1:], strict=False)]
 

@@ -398,8 +398,12 @@ def _lists(parts: list[bytes]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.cumsum(sizes), pa.int32()), pa.array(np.frombuffer(b"".join(parts), "<i4"), pa.int32()))
 
 
-def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL, chunk_chars: int = CHUNK_CHARS, fan: int = FAN) -> DataFrame:
-    """The id and token_ids of every row of docs."""
+def _text(model: Pieces, ids: np.ndarray) -> str:
+    return model.decode(ids).decode("utf-8", "replace")
+
+
+def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL, chunk_chars: int = CHUNK_CHARS, fan: int = FAN, decoded: bool = False) -> DataFrame:
+    """The id and token_ids of every row of docs, and the text that they decode to if that is wanted: a task then needs one worker, not one for each way."""
     root = workspace(docs.sparkSession, "pieces")
     rows = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
@@ -409,9 +413,10 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
         p = pieces(model)
         for batch in slices(batches, 1):
             ids = [p.encode_plain(MARK + t.replace(" ", MARK)) if t else b"" for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), _lists(ids)], [id_col, "token_ids"])
+            back = {"text": pa.array([_text(p, np.frombuffer(i, "<i4")) for i in ids], pa.string())} if decoded else {}
+            yield pa.RecordBatch.from_pydict({id_col: batch.column(0), "token_ids": _lists(ids)} | back)
 
-    direct = small.mapInArrow(run, f"{id_col} {kind}, token_ids array<int>")
+    direct = small.mapInArrow(run, f"{id_col} {kind}, token_ids array<int>" + ", text string" * decoded)
     # rows that repeat an id must not mix: a row's key also holds its text's digest and a number of its own
     keyed = giant.select(F.concat_ws("/", F.expr("uuid()"), F.xxhash64("id", "text").cast("string")).alias("key"), "id", "text")
     chunks = save(_chunks(keyed, model, chunk_chars, kind), f"{root}/chunks")
@@ -420,7 +425,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
     drop(docs.sparkSession, f"{root}/chunks")
     parts = F.array_sort(F.collect_list(F.struct("chunk", "ids")))
     whole = traced.groupBy("key").agg(F.first("id").alias(id_col), F.flatten(F.transform(parts, lambda x: x["ids"])).alias("token_ids")).select(id_col, "token_ids")
-    return direct.unionByName(whole)
+    return direct.unionByName(decode(whole, id_col, model=model) if decoded else whole)
 
 
 def decode(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "token_ids", model: str = MODEL) -> DataFrame:
@@ -433,7 +438,7 @@ def decode(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "token_ids
         for batch in slices(batches, 1):
             values, ends = batch.column(1).flatten().to_numpy(), batch.column(1).offsets.to_numpy()
             ends = ends - ends[0]
-            texts = [p.decode(values[a:b]).decode("utf-8", "replace") for a, b in zip(ends[:-1], ends[1:], strict=True)]
+            texts = [_text(p, values[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], [id_col, ids_col, "text"])
 
     return rows.mapInArrow(run, f"{id_col} {kind}, {ids_col} array<int>, text string")
@@ -441,5 +446,5 @@ def decode(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "token_ids
 
 def op1_sentencepiece(spark, sf_dir: str) -> DataFrame:
     """Ids of every document, their count, and the digest of the text they decode to."""
-    out = decode(encode(table(spark, sf_dir, "documents")))
+    out = encode(table(spark, sf_dir, "documents"), decoded=True)
     return out.select("doc_id", F.size("token_ids").cast("bigint").alias("n_tokens"), "token_ids", F.sha2("text", 256).alias("text_sha256"))

@@ -1,9 +1,11 @@
 import random
 import re
+import tracemalloc
 from collections import Counter
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 
 from tallyloom.llm import jaccard as J
 from tallyloom.llm.common import workspace
@@ -183,3 +185,20 @@ def test_components(spark):
         x, y = sorted((find(a), find(b)))
         parent[y] = x
     assert got == {x: find(x) for x in parent if find(x) != x}
+
+
+def test_workers_make_sets_of_few_texts_at_a_time():
+    rng = random.Random(6)
+    words = [f"w{k}" for k in range(3000)]
+    batch = pa.record_batch({"text": pa.array([" ".join(rng.choices(words, k=450)).encode() for _ in range(1600)])})
+    peaks = {}
+    for texts in (400, 1600):
+        tracemalloc.start()
+        rows = n = 0
+        for part, elements, bounds, digests in J._sets(iter([batch.slice(0, texts)]), 0, 5):
+            rows, n = rows + part.num_rows, n + len(elements)
+            assert len(J.signatures(elements, bounds, 80)[0]) and len(digests) == part.num_rows
+        peaks[texts] = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert rows == texts and n == 446 * texts
+    assert batch.nbytes > 3.5e6 and peaks[1600] < 16e6 and peaks[1600] < 1.2 * peaks[400]

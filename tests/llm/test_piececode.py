@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 import sentencepiece
 
+import corpus_pipeline as C
 from tallyloom.llm import piececode as P
 
 
@@ -54,6 +55,25 @@ def test_rows(spark, library):
     assert P.encode(df.limit(0)).count() == 0
 
 
+def python_steps(node):
+    """The most Python steps on a way from the plan's root to a leaf."""
+    below = node.children()
+    return ("MapInArrow" in node.nodeName()) + max((python_steps(below.apply(k)) for k in range(below.size())), default=0)
+
+
+def test_encoding_and_decoding_take_one_worker_a_task(spark, library):
+    rows = [(1, "hello world"), (1, "hello world"), (2, None), (3, ""), (None, "x  y"), (4, "無 " * 3000), (4, "é" * 700), (5, "a " * 2000)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    out = P.encode(df, chunk_chars=700, fan=4, decoded=True)
+    assert out.columns == ["doc_id", "token_ids", "text"]
+    want = [(i, library.encode(t or ""), t or "") for i, t in rows]
+    assert sorted(map(str, want)) == sorted(str((r.doc_id, r.token_ids, r.text)) for r in out.collect())
+    assert P.encode(df.limit(0), decoded=True).count() == 0
+    stage = C.piece_stage(spark, spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), "/root/testdata/sf0.001")
+    for frame in (out, stage, P.op1_sentencepiece(spark, "/root/testdata/sf0.001")):
+        assert python_steps(frame._jdf.queryExecution().sparkPlan()) == 1
+
+
 def test_query_equals_library(spark, library):
     sf = "/root/testdata/sf0.001"
     texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
